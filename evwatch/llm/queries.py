@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evwatch.llm import simhash
+from evwatch.llm import attribution, chat, decontaminate, lines, packing, quality, secrets, simhash
 from evwatch.llm.common import table
 
 
@@ -17,8 +17,135 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_before"))
+    rest = lines.drop_repeated_lines(docs)
+    return rest.select("doc_id", "n_before", F.length("text").alias("n_after"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = F.array_join(F.transform("masks", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return chat.perspectives(table(spark, sf_dir, "conversations")).withColumn("masks", masks)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"] != "entropy")
+    counts = [count(kind) for kind in secrets.KINDS]
+    return found.select("doc_id", *counts[:3], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), counts[3])
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_items = F.size("items").cast("long").alias("n_items")
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", n_items, digest, "contaminated")
+
+
+def op8_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_fertility": op2_fertility,
+    "op4_lines": op4_lines,
+    "op5_rotation": op5_rotation,
+    "op6_secrets": op6_secrets,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_attribution": op8_attribution,
+    "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_lines": r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no
+  FROM documents
+), full_line AS (
+  SELECT doc_id, no, rtrim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS pos
+  FROM line WHERE regexp_matches(line, '[^ \t\x0B\f\r]')
+), win AS (
+  SELECT doc_id, pos, no AS first, lead(no, 2) OVER d AS last, line AS a, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c
+  FROM full_line WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS k FROM win WHERE last IS NOT NULL
+), again AS (
+  SELECT doc_id, pos, first, last, CASE WHEN pos - lag(pos) OVER d <= 3 THEN 0 ELSE 1 END AS fresh
+  FROM ranked WHERE k > 1 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), island AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM again
+), run AS (
+  SELECT doc_id, island, min(first) AS first, max(last) AS last FROM island GROUP BY ALL
+), rest AS (
+  SELECT line.doc_id, string_agg(line, chr(10) ORDER BY no) AS text
+  FROM line LEFT JOIN run ON line.doc_id = run.doc_id AND no BETWEEN first AND last
+  WHERE run.doc_id IS NULL GROUP BY line.doc_id
+)
+SELECT d.doc_id, length(d.text)::INT AS n_before, length(coalesce(r.text, ''))::INT AS n_after, sha256(coalesce(r.text, '')) AS text_sha256
+FROM documents d LEFT JOIN rest r USING (doc_id)
+""",
+    "op5_rotation": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said, turn // 1024 AS part FROM conversations
+), speaker AS (
+  SELECT DISTINCT conv_id, who AS speaker FROM said WHERE who <> 'system'
+), each AS (
+  SELECT s.conv_id, speaker, part, turn, who, said, who = speaker AS own,
+    '<|im_start|>' || CASE WHEN who = speaker THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head,
+    said || '<|im_end|>' AS body
+  FROM said s JOIN speaker p ON s.conv_id = p.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, who, said ROWS UNBOUNDED PRECEDING) AS stop FROM each
+), parts AS (
+  SELECT conv_id, speaker, part, count(*) AS n_turns, max(stop) AS n_chars,
+    string_agg(head || body || chr(10), '' ORDER BY turn, who, said) AS text,
+    coalesce(string_agg(CASE WHEN own THEN (stop - length(body) - 1)::BIGINT || ':' || (stop - 1)::BIGINT END, ',' ORDER BY turn, who, said), '') AS masks
+  FROM placed GROUP BY ALL
+)
+SELECT conv_id, speaker, part, n_turns::INT AS n_turns,
+  coalesce(sum(n_chars) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_offset,
+  text, masks
+FROM parts
+""",
+    "op7_decontaminate": r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), item AS (
+  SELECT item_id::VARCHAR AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), win AS (
+  SELECT item_id, least(len(w), 13) AS n, list_aggregate(w[i : i + 12], 'string_agg', ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), size AS (SELECT DISTINCT n FROM win), place AS (
+  SELECT doc_id, n, i, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, size)
+), hit AS (
+  SELECT DISTINCT doc_id, item_id, place.n, i FROM place JOIN win USING (phrase, n)
+), word AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+}
