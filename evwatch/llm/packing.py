@@ -41,8 +41,11 @@ class Plan:
     block: int = 1 << 19
 
 
-def best_cuts(at: list[int], penalty: list[float], size: int) -> list[int]:
-    """Indices of the chosen places, first and last included. ``at`` ascends, by ``size`` at most."""
+def best_cuts(at: list[int], penalty: list[float], size: int, ended: bool = True) -> list[int]:
+    """Indices of the chosen places, first and last included. ``at`` ascends, by ``size`` at most.
+
+    If the stream hasn't ended, the last sequence is still to be filled: its padding doesn't count.
+    """
     n = len(at)
     back, key = [0] * n, [0.0] * n
     key[0] = at[0]
@@ -58,6 +61,9 @@ def best_cuts(at: list[int], penalty: list[float], size: int) -> list[int]:
             queue.pop()
         queue.append(j)
     path = [n - 1]
+    if not ended and n > 1:
+        reach = [j for j in range(n - 1) if at[-1] - at[j] <= size]
+        path.append(min(reach, key=lambda j: key[j] - at[j] if j else 0.0))
     while path[-1]:
         path.append(back[path[-1]])
     return path[::-1]
@@ -102,7 +108,7 @@ class Stream:
         ids = np.concatenate(self.ids)
         starts = np.array([s for _, s, _ in self.docs], np.int64)
         at, penalty = places(ids, starts[starts >= 0], self.ends_sentence, self.plan)
-        cuts = at[best_cuts(at.tolist(), penalty.tolist(), self.plan.size)]
+        cuts = at[best_cuts(at.tolist(), penalty.tolist(), self.plan.size, last)]
         if not last:
             cuts = cuts[:-1]
         until = int(cuts[-1])
