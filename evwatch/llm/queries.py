@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evwatch.llm import attribution, chat, decontaminate, lines, packing, quality, secrets, simhash
+from evwatch.llm import attribution, chat, decontaminate, lines, packing, quality, secrets, simhash, substrings
 from evwatch.llm.common import table
 
 
@@ -57,6 +57,12 @@ def op8_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return rest.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_attribution": op8_attribution,
+    "op9_suffixes": op9_suffixes,
     "op10_packing": op10_packing,
 }
 
