@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evwatch.llm import attribution, chat, decontaminate, lines, packing, quality, secrets, simhash, substrings
+from evwatch.llm import attribution, chat, decontaminate, lines, packing, passages, quality, secrets, simhash, substrings
 from evwatch.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
 
 
+def op3_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_before"))
     rest = lines.drop_repeated_lines(docs)
@@ -71,6 +75,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_fertility": op2_fertility,
+    "op3_chaining": op3_chaining,
     "op4_lines": op4_lines,
     "op5_rotation": op5_rotation,
     "op6_secrets": op6_secrets,
