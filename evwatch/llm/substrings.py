@@ -37,10 +37,12 @@ SHARD = 4 << 20  # bytes of a suffix array
 LONGEST = 4096  # starts in a segment; more with one anchor are cut
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 BASE = 0x100000001B3
+LOW = np.uint64(0xFFFFFFFF)
 #: A segment's place: document, tag (tells rows of one id apart), first start; ``n`` starts.
 PLACE = [("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("n", np.uint16)]
-SENT = np.dtype([("anchor", np.uint64), ("content", np.uint64), *PLACE])
-WANTED = np.dtype([("anchor", np.uint64), *PLACE])
+#: Within a bucket, 32 bits of an anchor do: one that meets another's only has more segments compared.
+SENT = np.dtype([("anchor", np.uint32), ("content", np.uint64), *PLACE])
+WANTED = np.dtype([("anchor", np.uint32), ("bucket", np.uint32), *PLACE])
 SPAN = np.dtype([("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("end", np.uint32)])
 
 
@@ -99,15 +101,16 @@ def runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(columns[0])], strict=False))
 
 
-def split_repeats(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences that an earlier document's equal segment makes repeats, and the others."""
-    rows = rows[np.argsort(np.ascontiguousarray(rows["content"]))]
-    heads = heads_of(rows["content"], rows["anchor"])
-    if not len(rows):
-        return rows, rows
-    least = np.minimum.reduceat(rows["doc"], np.flatnonzero(heads))
-    again = rows["doc"] > least[np.cumsum(heads) - 1]
-    return rows[again], rows[~again]
+def split_repeats(rows: np.ndarray) -> np.ndarray:
+    """Whether an earlier document's equal segment makes an occurrence a repeat."""
+    order = np.argsort(np.ascontiguousarray(rows["content"]))
+    content, anchor, doc = (rows[c][order] for c in ("content", "anchor", "doc"))
+    again = np.zeros(len(rows), bool)
+    if len(rows):
+        heads = heads_of(content, anchor)
+        least = np.minimum.reduceat(doc, np.flatnonzero(heads))
+        again[order] = doc > least[np.cumsum(heads) - 1]
+    return again
 
 
 def spans_of(rows: np.ndarray, length: int) -> np.ndarray:
@@ -138,11 +141,16 @@ def blobs(rows: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple[int, in
     """(bucket, kind, bytes) for the rows of each bucket."""
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
-    return [(int(bucket[i]), kind, rows[i:j].tobytes()) for i, j in runs_of(bucket)]
+    return [(int(bucket[i]), kind, packed(rows[i:j])) for i, j in runs_of(bucket)]
 
 
-def anchor_bucket(rows: np.ndarray, n: int) -> np.ndarray:
-    return (rows["anchor"] >> np.uint64(20)).astype(np.int64) % n
+def packed(rows: np.ndarray) -> bytes:
+    """Rows byte by byte: all first bytes, all second bytes and so on, which compresses far better."""
+    return np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes()
+
+
+def unpacked(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
 
 
 def doc_bucket(rows: np.ndarray, n: int) -> np.ndarray:
@@ -161,7 +169,7 @@ def blob_batches(out: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 def read(table: pa.Table | pa.RecordBatch, kind: int, dtype: np.dtype) -> np.ndarray:
     kinds = table.column("kind").to_pylist()
-    found = [np.frombuffer(b.as_buffer(), dtype) for b, k in zip(table.column("blob"), kinds, strict=True) if k == kind]
+    found = [unpacked(np.frombuffer(b.as_buffer(), np.uint8), dtype) for b, k in zip(table.column("blob"), kinds, strict=True) if k == kind]
     return np.concatenate(found) if found else np.zeros(0, dtype)
 
 
@@ -172,15 +180,15 @@ def cut(docs: DataFrame, length: int, n: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 anchor, content, first, starts = segments(data, length)
                 rows = np.empty(len(anchor), SENT)
-                rows["anchor"], rows["content"], rows["doc"], rows["tag"], rows["start"], rows["n"] = anchor, content, doc, tag, first, starts
-                held.append(rows)
+                rows["anchor"], rows["content"], rows["doc"], rows["tag"], rows["start"], rows["n"] = anchor & LOW, content, doc, tag, first, starts
+                held.append((rows, (anchor >> np.uint64(32)).astype(np.int64) % n))
                 size += len(data)
                 if size >= CHUNK:
                     yield from flush(held)
@@ -188,10 +196,11 @@ def cut(docs: DataFrame, length: int, n: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        again, rest = split_repeats(np.concatenate(held))
-        spans = spans_of(again, length)
-        yield from blob_batches(blobs(rest, anchor_bucket(rest, n), A_SENT) + blobs(spans, doc_bucket(spans, n), A_SPAN))
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows, bucket = map(np.concatenate, zip(*held, strict=True))
+        again = split_repeats(rows)
+        spans = spans_of(rows[again], length)
+        yield from blob_batches(blobs(rows[~again], bucket[~again], A_SENT) + blobs(spans, doc_bucket(spans, n), A_SPAN))
 
     return docs.select("doc", "tag", "data").mapInArrow(run, BLOBS)
 
@@ -200,8 +209,9 @@ def meet(sent: DataFrame, length: int, n: int) -> DataFrame:
     """Blobs for document buckets: spans that are repeats, and segments whose bytes are wanted."""
 
     def run(table: pa.Table) -> pa.Table:
-        again, rest = split_repeats(read(table, A_SENT, SENT))
-        spans = np.concatenate([spans_of(again, length), read(table, A_SPAN, SPAN)])
+        rows = read(table, A_SENT, SENT)
+        again = split_repeats(rows)
+        spans, rest = np.concatenate([spans_of(rows[again], length), read(table, A_SPAN, SPAN)]), rows[~again]
         # Of an anchor's segments, none has a repeat if all are one document's or all are one.
         rest = rest[np.argsort(np.ascontiguousarray(rest["anchor"]))]
         heads = heads_of(rest["anchor"])
@@ -214,7 +224,8 @@ def meet(sent: DataFrame, length: int, n: int) -> DataFrame:
             several = docs & contents
         rest = rest[several[group]] if len(at) else rest
         wanted = np.empty(len(rest), WANTED)
-        for name in WANTED.names:
+        wanted["bucket"] = table.column("bucket")[0].as_py()
+        for name in ("anchor", *(c for c, _ in PLACE)):
             wanted[name] = rest[name]
         out = blobs(spans, doc_bucket(spans, n), A_SPAN) + blobs(wanted, doc_bucket(wanted, n), A_WANTED)
         return pa.Table.from_batches(blob_batches(out), schema=EMPTY.schema)
@@ -232,7 +243,7 @@ def fetch(docs: DataFrame, met: DataFrame, length: int, n: int) -> DataFrame:
         wanted = read(right, A_WANTED, WANTED)
         text_of = {key: i for i, key in enumerate(zip(left.column("doc").to_pylist(), left.column("tag").to_pylist(), strict=True))}
         texts = left.column("data")
-        bucket = anchor_bucket(wanted, n)
+        bucket = wanted["bucket"]
         order = np.argsort(bucket, kind="stable")
         wanted, bucket = wanted[order], bucket[order]
         out = []
