@@ -120,7 +120,7 @@ class Trees(Detector):
 
         filled = frame.withColumns({f"__{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(-999.0)) for c in self.features} | {f"__{c}_null": F.col(c).isNull().cast("double") for c in self.features})
         inputs = [n for c in self.features for n in (f"__{c}", f"__{c}_null")]
-        return VectorAssembler(inputCols=inputs, outputCol="__x").transform(filled).drop(*inputs)
+        return VectorAssembler(inputCols=inputs, outputCol="__vector").transform(filled).drop(*inputs)
 
     def fit(self, frame: DataFrame) -> Trees:
         from pyspark.ml.classification import GBTClassifier
@@ -128,14 +128,14 @@ class Trees(Detector):
         rows = self.assembled(frame).withColumn("label", F.col("t0_utc").isNotNull().cast("double"))
         if rows.select("label").distinct().count() < 2:
             raise ValueError("training rows of one class only")
-        self.model = GBTClassifier(featuresCol="__x", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=self.seed).fit(rows)
+        self.model = GBTClassifier(featuresCol="__vector", maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, seed=self.seed).fit(rows)
         return self
 
     def score(self, frame: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
         out = self.model.transform(self.assembled(frame))
-        return out.withColumn("score", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
+        return out.withColumn("score", vector_to_array("probability")[1]).drop("__vector", "rawPrediction", "probability", "prediction")
 
 
 @register("policy")
