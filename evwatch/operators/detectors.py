@@ -88,6 +88,42 @@ def cusum(values: DataFrame, k: float, h: float, by: str = "ticker", ts: str = "
     return out.select(by, F.col("ts").alias(ts), "cusum")
 
 
+def cusum_grid(values: DataFrame, grid: list[tuple[float, float]], by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z") -> DataFrame:
+    """``k, h`` and the CUSUM of ``cusum`` for each legal pair of the grid (h not below k): a key's
+    rows are ordered once and folded once for each pair."""
+    legal = [(float(k), float(h)) for k, h in grid if h >= k]
+    if not legal:
+        raise ValueError("no pair with h at or over k")
+    usable = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x).cast("double"))
+    rows = values.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), usable.alias("x")))).alias("rows"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(h).alias("h")) for k, h in legal)))
+    each = rows.select(by, "rows", pairs.alias("p")).select(by, "rows", "p.k", "p.h")
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, row: Column) -> Column:
+        s = F.greatest(F.lit(0.0), acc["s"] + row["x"] - F.col("k"))
+        kept = F.when(row["x"].isNull(), acc["s"]).when(s >= F.col("h"), 0.0).otherwise(s)
+        return F.struct(kept.alias("s"), F.concat(acc["out"], F.array(F.when(row["x"].isNotNull(), s))).alias("out"))
+
+    told = F.aggregate("rows", start, step, lambda acc: acc["out"])
+    out = each.select("k", "h", by, F.inline(F.arrays_zip(F.col("rows.ts").alias("ts"), told.alias("cusum"))))
+    return out.select("k", "h", by, F.col("ts").alias(ts), "cusum")
+
+
+def tune_cusum(frame: DataFrame, grid: list[tuple[float, float]], budget: int) -> DataFrame:
+    """Precision at ``budget`` alerts (ties admitted) for each legal pair, the best first: by
+    precision, then smaller k, then smaller h. ``frame``: window_id, ticker, ts_utc, t0_utc, volume_z."""
+    told = cusum_grid(frame.select("ticker", "ts_utc", "volume_z").distinct(), grid)
+    rows = frame.select("window_id", "ticker", "ts_utc", "t0_utc").join(told, ["ticker", "ts_utc"])
+    positive = F.max(F.col("t0_utc").isNotNull())
+    peaks = rows.groupBy("k", "h", "window_id").agg(positive.alias("positive"), F.when(positive, F.max_by("cusum", "ts_utc")).otherwise(F.max("cusum")).alias("peak")).where("peak IS NOT NULL")
+    ranked = peaks.withColumn("r", F.row_number().over(Window.partitionBy("k", "h").orderBy(F.col("peak").desc()))).where(F.col("r") <= budget)
+    cut = ranked.groupBy("k", "h").agg(F.min("peak").alias("threshold"))
+    alerts = peaks.join(cut, ["k", "h"]).where(F.col("peak") >= F.col("threshold"))
+    out = alerts.groupBy("k", "h").agg(F.first("threshold").alias("threshold"), F.count("*").alias("alerts"), F.avg(F.col("positive").cast("double")).alias("precision"))
+    return out.orderBy(F.col("precision").desc(), "k", "h")
+
+
 def cusum_no_reset(values: DataFrame, k: float, by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z") -> DataFrame:
     """The same without falling back: C - min(0, min C) of the running sum C, in two windows."""
     order = Window.partitionBy(by).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)

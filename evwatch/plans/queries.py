@@ -311,6 +311,22 @@ def universe_reasons(spark, sf_dir):
     return rounded(universe.classify(rows, HIGH, SMALL).select("ticker", "adv_usd", "reason"), "adv_usd")
 
 
+@query("""SELECT ticker, 1 AS in_computed, 0 AS in_stored FROM companies WHERE exchange <> 'OTC' AND ticker NOT IN (SELECT ticker FROM companies WHERE exchange <> 'NYSE')
+UNION ALL SELECT ticker, 0, 1 FROM companies WHERE exchange <> 'NYSE' AND ticker NOT IN (SELECT ticker FROM companies WHERE exchange <> 'OTC')""")
+def universe_drift(spark, sf_dir):
+    rows = adapters.companies(spark, sf_dir)
+    return universe.drift(rows.where("exchange <> 'OTC'"), rows.where("exchange <> 'NYSE'"))
+
+
+@query(f"""SELECT reason, count(*) AS total, count(*) FILTER (scheduled) AS scheduled, count(*) FILTER (NOT scheduled) AS unscheduled FROM (
+  SELECT CASE WHEN acceptance_utc < {LOW} OR acceptance_utc >= {HIGH} THEN 'outside_study_window' WHEN items = '9.01' THEN 'only_excluded_items' ELSE 'usable' END AS reason, contains(items, '2.02') AS scheduled FROM filings) GROUP BY 1""")
+def reason_split(spark, sf_dir):
+    rows = adapters.filings(spark, sf_dir)
+    reason = F.coalesce(scalars.scope_reason(F.col("acceptance_utc"), LOW, HIGH - 1, F.lit(True)), scalars.item_reason(F.col("items"), SMALL.excluded_items), F.lit("usable"))
+    scheduled = scalars.among(scalars.parse_items(F.col("items")), SMALL.scheduled_items)
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("total"), F.count_if(scheduled).alias("scheduled"), F.count_if(~scheduled).alias("unscheduled"))
+
+
 # Aggregations over filings
 
 
@@ -541,6 +557,22 @@ def trees_scores(spark, sf_dir):
     return model.predict(rows.where(F.col("ts_utc") >= cut)).select("window_id", "ts_utc", "score", "action")
 
 
+@query()
+def cusum_tuning(spark, sf_dir):
+    """Twelve pairs; a fold for each, which is held against the single fold in a test."""
+    rows = frames.frame(spark, sf_dir)
+    return detectors.tune_cusum(rows, [(k, h) for k in (0.25, 0.5, 1.0) for h in (0.5, 1.0, 2.0, 4.0)], 200)
+
+
+@query(BUDGET + """ SELECT slice, round((count(*) FILTER (alert) / (count(*) FILTER (alert) + any_value(fp))) / (count(*) / (count(*) + any_value(n_quiet))), 6) AS lift FROM p CROSS JOIN quiet GROUP BY slice""")
+def lift_over_constant(spark, sf_dir):
+    """A constant detector's tie admits every window, so its precision is the base rate."""
+    rows = frames.predictions(spark, sf_dir)
+    threshold = metrics.threshold_at(metrics.window_summary(rows), metrics.alert_budget(rows, SMALL.budget_per_month))
+    floor = metrics.report(frames.predictions(spark, sf_dir, detectors.Constant()), 0.0, SMALL.excluded_items)
+    return rounded(metrics.with_lift(metrics.report(rows, threshold, SMALL.excluded_items), floor).select("slice", "lift"), "lift")
+
+
 # The alert log
 
 
@@ -634,6 +666,16 @@ def keyword_classes(spark, sf_dir):
     return adapters.read(spark, sf_dir, "documents").select("doc_id", scalars.keyword_class(F.col("text"), ["license", "password", "token"]).alias("keyword"))
 
 
+@query("""WITH s AS (SELECT event_id AS id, i AS hour, CASE WHEN l.t0_utc % 2 = 0 THEN 'down' ELSE 'up' END AS claim, (l.t0_utc * i) % 101 / 1000.0 - 0.05 AS ret, (l.t0_utc * i) % 37 / 10.0 AS z FROM labelled l CROSS JOIN range(1, 13) t(i)),
+d AS (SELECT id, hour, CASE WHEN hour < 3 THEN 'WAIT' WHEN (claim = 'down' AND ret <= -0.04) OR (claim <> 'down' AND ret >= 0.04) OR z >= 3.5 THEN 'TRUE' WHEN hour >= 12 THEN 'FALSE' ELSE 'WAIT' END AS decision FROM s)
+SELECT id, min(hour)::INT AS hour, arg_min(decision, hour) AS decision FROM d WHERE decision <> 'WAIT' GROUP BY 1""")
+def hourly_decisions(spark, sf_dir):
+    steps = frames.labelled(spark, sf_dir).select(F.col("event_id").alias("id"), "t0_utc", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("hour"))
+    mixed = F.col("t0_utc") * F.col("hour")
+    steps = steps.select("id", "hour", F.when(F.col("t0_utc") % 2 == 0, "down").otherwise("up").alias("claim"), ((mixed % 101) / 1000.0 - 0.05).alias("ret"), ((mixed % 37) / 10.0).alias("z"))
+    return text.decide(steps, 3, 12, 0.04, 0.04, 3.5)
+
+
 POSTS = "SELECT user_id::VARCHAR AS ticker, tm AS ts, event_id AS id, 'post ' || event_id AS title, value AS score, event_type AS kind FROM events JOIN ev USING (event_id, user_id, event_type)"
 
 

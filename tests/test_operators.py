@@ -40,6 +40,15 @@ def test_cusum_without_reset_equals_the_fold(spark):
         assert (r.cusum is None) == (want is None) and (want is None or abs(r.cusum - want) < 1e-9)
 
 
+def test_cusum_grid_equals_single_folds(spark):
+    rng = random.Random(6)
+    rows = [(t, i, rng.choice([None, rng.gauss(0, 2)])) for t in "ab" for i in range(30)]
+    df = spark.createDataFrame(rows, "ticker string, ts_utc long, volume_z double")
+    got = {(r.k, r.h, r.ticker, r.ts_utc): r.cusum for r in detectors.cusum_grid(df, [(0.5, 1.0), (0.5, 3.0), (2.0, 1.0)]).collect()}
+    want = {(0.5, h, r.ticker, r.ts_utc): r.cusum for h in (1.0, 3.0) for r in detectors.cusum(df, 0.5, h).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("slice_s", [None, 7])
