@@ -94,7 +94,7 @@ def merge_new_else_old(spark, sf_dir):
     return merge.merge(target, source.unionByName(fresh), ["key"])
 
 
-@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 7.0 END AS kept, 7.0 AS owned FROM customer")
+@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 7.0 END AS kept, 7.0::DOUBLE AS owned FROM customer")
 def merge_by_column(spark, sf_dir):
     target = adapters.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("kept"), F.lit(1.0).alias("owned"))
     source = target.select("key", F.lit(7.0).alias("kept"), F.lit(7.0).alias("owned"))
