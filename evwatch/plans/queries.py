@@ -481,7 +481,7 @@ p AS (SELECT alert, unnest(list_distinct(['all', CASE WHEN is_scheduled THEN 'sc
   round(count(*) FILTER (alert) / (count(*) FILTER (alert) + any_value(fp)), 6) AS precision, round(least(count(*), count(*) FILTER (alert) + any_value(fp)) / (count(*) FILTER (alert) + any_value(fp)), 6) AS ceiling,
   round(count(*) FILTER (alert) / count(*), 6) AS recall, round(count(*) / (count(*) + any_value(n_quiet)), 6) AS base_rate FROM p CROSS JOIN quiet GROUP BY slice""")
 def budget_report(spark, sf_dir):
-    rows = frames.predictions(spark, sf_dir)
+    rows = frames.predictions(spark, sf_dir).cache()  # read for the budget, the threshold and the report
     threshold = metrics.threshold_at(metrics.window_summary(rows), metrics.alert_budget(rows, SMALL.budget_per_month))
     return rounded(metrics.report(rows, threshold, SMALL.excluded_items), "precision", "ceiling", "recall", "base_rate")
 
@@ -567,7 +567,7 @@ def cusum_tuning(spark, sf_dir):
 @query(BUDGET + """ SELECT slice, round((count(*) FILTER (alert) / (count(*) FILTER (alert) + any_value(fp))) / (count(*) / (count(*) + any_value(n_quiet))), 6) AS lift FROM p CROSS JOIN quiet GROUP BY slice""")
 def lift_over_constant(spark, sf_dir):
     """A constant detector's tie admits every window, so its precision is the base rate."""
-    rows = frames.predictions(spark, sf_dir)
+    rows = frames.predictions(spark, sf_dir).cache()  # read for the budget, the threshold and the report
     threshold = metrics.threshold_at(metrics.window_summary(rows), metrics.alert_budget(rows, SMALL.budget_per_month))
     floor = metrics.report(frames.predictions(spark, sf_dir, detectors.Constant()), 0.0, SMALL.excluded_items)
     return rounded(metrics.with_lift(metrics.report(rows, threshold, SMALL.excluded_items), floor).select("slice", "lift"), "lift")
