@@ -159,10 +159,12 @@ def repeated_words(numbers: np.ndarray, window: int = 3) -> int:
     width = 63 // window  # bits for a word's number
     if int(numbers.max()) >> width:
         numbers = np.unique(numbers, return_inverse=True)[1].astype(np.int64)
-        if len(numbers) >> width:
-            raise ValueError(f"a text has more than {1 << width} words")
+    many = int(numbers.max()) >> width  # too many for all of a window's words in one key
+    width = 31 if many else width
     key = numbers[:n]
     for k in range(1, window):
+        if many and k > 1:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
         key = key << width | numbers[k : n + k]
     order = np.sort(key)
     again = order[1:][order[1:] == order[:-1]]

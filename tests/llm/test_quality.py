@@ -2,6 +2,7 @@ import re
 from collections import Counter
 from math import log2
 
+import numpy as np
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -73,3 +74,16 @@ def test_clean_keeps_columns_even_clashing_ones(spark):
     assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "None"]
     assert {r.n_words for r in out.collect()} == {9, None}
     assert quality.clean(docs.limit(0)).count() == 0
+
+
+def test_repeated_words_of_many_distinct_words():
+    def brute(words, window):
+        at = {}
+        for i in range(len(words) - window + 1):
+            at.setdefault(tuple(words[i : i + window]), []).append(i)
+        return len({i + k for places in at.values() if len(places) > 1 for i in places for k in range(window)})
+
+    words = [*range(400), *range(50, 70), 7, *range(300, 308), *range(100, 109)]  # 9 words leave 7 bits for each
+    assert quality.repeated_words(np.array(words), 9) == brute(words, 9) == 58
+    many = np.concatenate([np.arange((1 << 21) + 5), [3, 4, 5]])
+    assert quality.repeated_words(many) == 6
