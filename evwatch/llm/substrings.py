@@ -20,12 +20,13 @@ number follows from the bytes of the input.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evwatch.llm import common, suffixes
@@ -153,8 +154,15 @@ def unpacked(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(data.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
 
 
+def bucket_of(doc: str, n: int) -> Column:
+    """A document's bucket, by a checksum of its id: ids in steps of any kind are dealt evenly."""
+    return F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(n)).cast("long")
+
+
 def doc_bucket(rows: np.ndarray, n: int) -> np.ndarray:
-    return rows["doc"] % n
+    """``bucket_of`` for rows within a task."""
+    docs, which = np.unique(rows["doc"], return_inverse=True)
+    return np.array([zlib.crc32(str(d).encode()) % n for d in docs.tolist()], np.int64)[which]
 
 
 BLOBS = "bucket long, kind int, blob binary"
@@ -345,7 +353,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         named = named.select("doc", "data", F.lit(0).cast("long").alias("tag"), F.lit(1).cast("long").alias("copies"))
     met = common.stored(meet(cut(named, length, n), length, n))
-    placed = named.select(F.pmod("doc", F.lit(n)).cast("long").alias("bucket"), "doc", "tag", "copies", "data")
+    placed = named.select(bucket_of("doc", n).alias("bucket"), "doc", "tag", "copies", "data")
     fetched = fetch(placed, met.where(F.col("kind") == A_WANTED), length, n)
     spans = met.where(F.col("kind") == A_SPAN).unionByName(resolve(fetched, length, n))
     unnamed = rows.where("doc IS NULL").select(
