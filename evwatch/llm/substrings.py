@@ -145,13 +145,29 @@ def blobs(rows: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple[int, in
     return [(int(bucket[i]), kind, packed(rows[i:j])) for i, j in runs_of(bucket)]
 
 
-def packed(rows: np.ndarray) -> bytes:
-    """Rows byte by byte: all first bytes, all second bytes and so on, which compresses far better."""
-    return np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes()
+CODEC = pa.Codec("zstd", 1)
+HASHES = ("seed", "anchor")  # columns whose neighbours tell nothing of each other
 
 
-def unpacked(data: np.ndarray, dtype: np.dtype) -> np.ndarray:
-    return np.ascontiguousarray(data.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+def packed(rows: np.ndarray) -> bytes:
+    """Rows as differences from the row before, byte by byte: all first bytes, all second bytes and
+    so on, compressed; places in order cost a byte or two."""
+    told = rows.copy()
+    for name in rows.dtype.names:
+        if name not in HASHES:
+            told[name][1:] = rows[name][1:] - rows[name][:-1]
+    planes = np.ascontiguousarray(told).view(np.uint8).reshape(len(rows), -1).T.tobytes()
+    return len(rows).to_bytes(8, "little") + CODEC.compress(planes, asbytes=True)
+
+
+def unpacked(data: pa.Buffer, dtype: np.dtype) -> np.ndarray:
+    n = int.from_bytes(data[:8].to_pybytes(), "little")
+    planes = np.frombuffer(CODEC.decompress(data[8:], n * dtype.itemsize), np.uint8)
+    rows = np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).ravel()
+    for name in dtype.names:
+        if name not in HASHES:
+            rows[name] = np.cumsum(rows[name], dtype=rows[name].dtype)
+    return rows
 
 
 def bucket_of(doc: str, n: int) -> Column:
@@ -159,9 +175,9 @@ def bucket_of(doc: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(n)).cast("long")
 
 
-def doc_bucket(rows: np.ndarray, n: int) -> np.ndarray:
+def doc_bucket(rows: np.ndarray, n: int, column: str = "doc") -> np.ndarray:
     """``bucket_of`` for rows within a task."""
-    docs, which = np.unique(rows["doc"], return_inverse=True)
+    docs, which = np.unique(rows[column], return_inverse=True)
     return np.array([zlib.crc32(str(d).encode()) % n for d in docs.tolist()], np.int64)[which]
 
 
@@ -177,7 +193,7 @@ def blob_batches(out: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 def read(table: pa.Table | pa.RecordBatch, kind: int, dtype: np.dtype) -> np.ndarray:
     kinds = table.column("kind").to_pylist()
-    found = [unpacked(np.frombuffer(b.as_buffer(), np.uint8), dtype) for b, k in zip(table.column("blob"), kinds, strict=True) if k == kind]
+    found = [unpacked(b.as_buffer(), dtype) for b, k in zip(table.column("blob"), kinds, strict=True) if k == kind]
     return np.concatenate(found) if found else np.zeros(0, dtype)
 
 
