@@ -1,17 +1,20 @@
 """Exact substring dedup: bytes of strings of ``length`` that also start in an earlier document.
 
-Documents aren't compared with each other. Every string of ``length`` bytes has an anchor, the
-least hash among the ``GRAM``-byte grams in it, which depends on its bytes alone; strings that
-are equal have equal anchors. A document is cut into segments of consecutive starts with one
-anchor, and segments meet by anchor:
-
-1. Within a chunk of documents, a segment that occurs in an earlier one of the chunk's documents
-   is a repeat; one occurrence of each segment goes on to its anchor's bucket, so that a passage
-   that very many documents hold is sent once per chunk.
-2. In a bucket, segments equal to an earlier document's are repeats. Where an anchor has several
-   different segments, the earliest occurrence of each is fetched.
-3. On fetched segments, by shards of bounded size, suffix arrays and common prefixes tell which
-   strings are equal, shards are merged by binary search, and a start is a repeat if the least
+Which strings are equal is told by suffix arrays and their common prefixes alone; hashes only
+bring together what may be, and leave out strings that no second document can have. Every string of
+``length`` bytes has an anchor, the gram of ``GRAM`` bytes in it with the least hash (the first of
+equals), which depends on its bytes alone; strings that are equal have equal anchors. A document is
+cut into segments of consecutive starts with one anchor:
+
+1. Within a chunk of documents, the text under anchors that several of its documents have goes
+   through suffix arrays. Starts whose string an earlier document of the chunk has are repeats;
+   segments of nothing but repeats end there, so that of a passage that very many documents hold
+   one copy goes on for each chunk. The others' anchors go to buckets.
+2. In a bucket, segments under anchors of several documents are wanted; of an anchor with very many
+   segments, only halves whose next ``SIDE`` bytes on their side of the anchor, by a hash, several
+   documents have as well, and these are dealt anew by those bytes. Wanted bytes are fetched.
+3. By shards of bounded size, suffix arrays and common prefixes group equal strings, the shards of
+   one anchor are merged by binary search among their strings, and a start is a repeat if the least
    document of its string comes before its own.
 
 Repeats go back to their documents as spans. Both ways of travel are blobs for buckets whose
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,59 +34,51 @@ from pyspark.sql import functions as F
 from evwatch.llm import common, suffixes
 
 GRAM = 24
-CHUNK = 16 << 20  # bytes of texts whose segments are compared before they travel
+SIDE = 13  # bytes next to an anchor that all strings on that side of it hold
+CHUNK = 8 << 20  # bytes of texts whose strings are compared before they travel
 BUCKET = 6 << 20  # bytes of texts for each bucket
-SHARD = 4 << 20  # bytes of a suffix array
-LONGEST = 4096  # starts in a segment; more with one anchor are cut
+SHARD = 1 << 21  # bytes of a suffix array
+HOT = 1024  # segments of an anchor from which it is split
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-BASE = 0x100000001B3
 LOW = np.uint64(0xFFFFFFFF)
 #: A segment's place: document, tag (tells rows of one id apart), first start; ``n`` starts.
 PLACE = [("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("n", np.uint16)]
 #: Within a bucket, 32 bits of an anchor do: one that meets another's only has more segments compared.
-SENT = np.dtype([("anchor", np.uint32), ("content", np.uint64), *PLACE])
+#: ``left`` starts lie more than ``SIDE`` bytes before the anchor; hashes of the bytes on either side.
+SENT = np.dtype([("anchor", np.uint32), *PLACE, ("left", np.uint16), ("before", np.uint16), ("after", np.uint16)])
 WANTED = np.dtype([("anchor", np.uint32), ("bucket", np.uint32), *PLACE])
 SPAN = np.dtype([("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("end", np.uint32)])
 
 
-@lru_cache(maxsize=4)
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``BASE`` and of its inverse modulo 2**64."""
-    up, down = np.full(1 << bits, BASE, np.uint64), np.full(1 << bits, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(32)) * MIX[0]
     return h ^ h >> np.uint64(29)
 
 
-def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, content hash, first start and number of starts of a text's segments."""
+def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's segments as rows of ``SENT`` without document and tag, and their anchors' hashes."""
     n = len(data) - length + 1
     if n < 1:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return np.zeros(0, SENT), np.zeros(0, np.uint64)
     words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
     grams = len(data) - GRAM + 1
-    least = mixed(sum(words[8 * j : 8 * j + grams] * MIX[j] for j in range(GRAM // 8)))
+    hashes = mixed(sum(words[8 * j : 8 * j + grams] * MIX[j] for j in range(GRAM // 8)))
+    least = hashes & ~LOW | np.arange(grams, dtype=np.uint64)  # ties go to the first place
     have, want = 1, length - GRAM + 1  # windows of grams, doubled as long as they fit
     while have < want:
         step = min(have, want - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    size = np.diff(np.append(first, n))
-    if size.max() > LONGEST:
-        parts = -(-size // LONGEST)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(first, parts) + nth * LONGEST
-        size = np.diff(np.append(first, n))
-    up, down = powers(max(16, int(len(data)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    end = first + size + length - 1
-    content = mixed((sums[end] - sums[first]) * down[first] + size.astype(np.uint64) * MIX[1])
-    return least[first], content, first, size
+    place = (least & LOW).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    rows, at = np.zeros(len(first), SENT), place[first]
+    rows["start"], rows["n"] = first, np.diff(np.append(first, n))
+    rows["left"] = np.minimum(np.maximum(at - SIDE - first, 0), rows["n"])
+    for name, begin in (("before", at - SIDE), ("after", at + GRAM)):
+        begin = np.clip(begin, 0, len(words) - 1)
+        second = np.minimum(begin + SIDE - 8, len(words) - 1)
+        rows[name] = mixed(words[begin] * MIX[1] + words[second] * MIX[2]) >> np.uint64(48)
+    return rows, hashes[at]
 
 
 def heads_of(*columns: np.ndarray) -> np.ndarray:
@@ -102,24 +96,49 @@ def runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(columns[0])], strict=False))
 
 
-def split_repeats(rows: np.ndarray) -> np.ndarray:
-    """Whether an earlier document's equal segment makes an occurrence a repeat."""
-    order = np.argsort(np.ascontiguousarray(rows["content"]))
-    content, anchor, doc = (rows[c][order] for c in ("content", "anchor", "doc"))
-    again = np.zeros(len(rows), bool)
-    if len(rows):
-        heads = heads_of(content, anchor)
-        least = np.minimum.reduceat(doc, np.flatnonzero(heads))
-        again[order] = doc > least[np.cumsum(heads) - 1]
-    return again
+def shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a row's key is found in several documents."""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.argsort(np.ascontiguousarray(key))
+    heads, doc = heads_of(key[order]), doc[order]
+    at, out = np.flatnonzero(heads), np.empty(len(key), bool)
+    out[order] = (np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at))[np.cumsum(heads) - 1]
+    return out
 
 
-def spans_of(rows: np.ndarray, length: int) -> np.ndarray:
-    out = np.empty(len(rows), SPAN)
-    for name in ("doc", "tag", "start"):
-        out[name] = rows[name]
-    out["end"] = rows["start"].astype(np.int64) + rows["n"] + length - 1
-    return joined(out)
+def late_starts(texts: list[np.ndarray], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which text, and where in it, strings start that a text of a smaller owner has too."""
+    texts, nth, skipped = pieces(texts, length)
+    size = np.array([len(t) for t in texts], np.int64)
+    cuts, held = [0], 0
+    for i, m in enumerate(size.tolist()):
+        if held + m > SHARD and held:
+            cuts.append(i)
+            held = 0
+        held += m
+    cuts.append(len(texts))
+    shards = [(np.concatenate(texts[i:j]), np.cumsum(size[i:j]), owner[nth[i:j]]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    which, where = [], []
+    for (_, ends, own), (at, least), i in zip(shards, suffixes.least_owners(shards, length), cuts, strict=False):
+        segment = np.searchsorted(ends, at, "right")
+        late = least < own[segment]
+        at, segment = at[late], segment[late]
+        which.append(nth[i + segment])
+        where.append(at - (ends - np.diff(ends, prepend=0))[segment] + skipped[i + segment])
+    return np.concatenate(which), np.concatenate(where)
+
+
+def pieces(texts: list[np.ndarray], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """``texts`` with those over a shard's size cut, each piece repeating the ``length - 1`` bytes before
+    its own, the text that each is of and where it starts there."""
+    out, nth, skipped, step = [], [], [], max(SHARD, 2 * length) - length + 1
+    for i, t in enumerate(texts):
+        for a in range(0, max(len(t) - length + 1, 1), step):
+            out.append(t[a : a + step + length - 1])
+            nth.append(i)
+            skipped.append(a)
+    return out, np.array(nth), np.array(skipped)
 
 
 def joined(spans: np.ndarray) -> np.ndarray:
@@ -204,15 +223,14 @@ def cut(docs: DataFrame, length: int, n: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                anchor, content, first, starts = segments(data, length)
-                rows = np.empty(len(anchor), SENT)
-                rows["anchor"], rows["content"], rows["doc"], rows["tag"], rows["start"], rows["n"] = anchor & LOW, content, doc, tag, first, starts
-                held.append((rows, (anchor >> np.uint64(32)).astype(np.int64) % n))
+                rows, anchor = segments(data, length)
+                rows["doc"], rows["tag"], rows["anchor"] = doc, tag, anchor & LOW
+                held.append((rows, anchor, data))
                 size += len(data)
                 if size >= CHUNK:
                     yield from flush(held)
@@ -220,11 +238,36 @@ def cut(docs: DataFrame, length: int, n: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        rows, bucket = map(np.concatenate, zip(*held, strict=True))
-        again = split_repeats(rows)
-        spans = spans_of(rows[again], length)
-        yield from blob_batches(blobs(rows[~again], bucket[~again], A_SENT) + blobs(spans, doc_bucket(spans, n), A_SPAN))
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows, anchor = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        text = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+        several = shared(anchor, rows["doc"])
+        chosen = np.flatnonzero(several)
+        out: list[tuple[int, int, bytes]] = []
+        if len(chosen):
+            # Neighbouring segments of a text are one stretch.
+            fresh = np.append(True, (np.diff(chosen) > 1) | (np.diff(text[chosen]) > 0))
+            first = chosen[fresh]
+            last = chosen[np.append(fresh[1:], True)]
+            low = rows["start"][first].astype(np.int64)
+            high = rows["start"][last].astype(np.int64) + rows["n"][last] + length - 1
+            stretches = [held[k][2][a:b] for k, a, b in zip(text[first].tolist(), low.tolist(), high.tolist(), strict=True)]
+            which, where = late_starts(stretches, rows["doc"][first], length)
+            spans = np.empty(len(which), SPAN)
+            spans["doc"], spans["tag"] = rows["doc"][first][which], rows["tag"][first][which]
+            spans["start"] = low[which] + where
+            spans["end"] = spans["start"] + length
+            # How many of a segment's starts are repeats: all of them, and it needn't go on.
+            order = np.lexsort((spans["start"], which))
+            begin = np.cumsum(np.append(0, [len(x[2]) for x in held]))
+            late = np.sort(begin[text[first][which[order]]] + spans["start"][order])
+            mine = begin[text] + rows["start"]
+            repeats = np.searchsorted(late, mine + rows["n"]) - np.searchsorted(late, mine)
+            keep = repeats < rows["n"]
+            rows, anchor = rows[keep], anchor[keep]
+            spans = joined(spans)
+            out = blobs(spans, doc_bucket(spans, n), A_SPAN)
+        yield from blob_batches(blobs(rows, (anchor >> np.uint64(32)).astype(np.int64) % n, A_SENT) + out)
 
     return docs.select("doc", "tag", "data").mapInArrow(run, BLOBS)
 
@@ -233,30 +276,42 @@ def meet(sent: DataFrame, length: int, n: int) -> DataFrame:
     """Blobs for document buckets: spans that are repeats, and segments whose bytes are wanted."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = read(table, A_SENT, SENT)
-        again = split_repeats(rows)
-        spans, rest = np.concatenate([spans_of(rows[again], length), read(table, A_SPAN, SPAN)]), rows[~again]
-        # Of an anchor's segments, none has a repeat if all are one document's or all are one.
-        rest = rest[np.argsort(np.ascontiguousarray(rest["anchor"]))]
-        heads = heads_of(rest["anchor"])
-        group = np.cumsum(heads) - 1
-        at = np.flatnonzero(heads)
-        several = np.zeros(len(at), bool)
-        if len(at):
-            docs = np.maximum.reduceat(rest["doc"], at) != np.minimum.reduceat(rest["doc"], at)
-            contents = np.maximum.reduceat(rest["content"], at) != np.minimum.reduceat(rest["content"], at)
-            several = docs & contents
-        rest = rest[several[group]] if len(at) else rest
-        wanted = np.empty(len(rest), WANTED)
-        wanted["bucket"] = table.column("bucket")[0].as_py()
-        for name in ("anchor", *(c for c, _ in PLACE)):
-            wanted[name] = rest[name]
+        rows, spans = read(table, A_SENT, SENT), read(table, A_SPAN, SPAN)
+        rows = rows[shared(rows["anchor"], rows["doc"])]
+        rows = rows[np.argsort(np.ascontiguousarray(rows["anchor"]), kind="stable")]
+        at = np.flatnonzero(np.append(heads_of(rows["anchor"]), True))
+        hot = np.repeat(np.diff(at) >= HOT, np.diff(at))
+        wanted = np.concatenate([places_of(rows[~hot], table.column("bucket")[0].as_py()), halves(rows[hot], n)])
         out = blobs(spans, doc_bucket(spans, n), A_SPAN) + blobs(wanted, doc_bucket(wanted, n), A_WANTED)
         return pa.Table.from_batches(blob_batches(out), schema=EMPTY.schema)
 
     return sent.groupBy("bucket").applyInArrow(run, BLOBS)
 
 
+def places_of(rows: np.ndarray, bucket: int | np.ndarray) -> np.ndarray:
+    wanted = np.empty(len(rows), WANTED)
+    for name in ("anchor", *(c for c, _ in PLACE)):
+        wanted[name] = rows[name]
+    wanted["bucket"] = bucket
+    return wanted
+
+
+def halves(rows: np.ndarray, n: int) -> np.ndarray:
+    """Segments of hot anchors, cut where the bytes before the anchor give way to those after it as
+    what all strings hold; wanted where several documents have the same, in a bucket of that."""
+    left, right = rows.copy(), rows.copy()
+    left["n"] = rows["left"]
+    right["start"], right["n"] = rows["start"] + rows["left"], rows["n"] - rows["left"]
+    key = [mixed(r["anchor"].astype(np.uint64) << np.uint64(17) | np.uint64(side << 16) | r[name]) for side, (r, name) in enumerate(((left, "before"), (right, "after")))]
+    both, key = np.concatenate([left, right]), np.concatenate(key)
+    some = both["n"] > 0
+    both, key = both[some], key[some]
+    again = shared(key, both["doc"])
+    both, key = both[again], key[again]
+    both["anchor"] = key & LOW
+    return places_of(both, (key >> np.uint64(32)).astype(np.int64) % n)
+
+
 EMPTY = pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "kind", "blob"])
 
 
@@ -297,22 +352,23 @@ def resolve(fetched: DataFrame, length: int, n: int) -> DataFrame:
         rows = np.concatenate(places)
         order = np.lexsort((rows["start"], rows["doc"], rows["anchor"]))
         rows, texts = rows[order], [texts[i] for i in order]
-        size = np.array([len(t) for t in texts], np.int64)
-        of_shard = (np.cumsum(size) - size) // SHARD
-        shards, parts = [], []
-        for i, j in runs_of(of_shard):
-            shards.append((np.concatenate(texts[i:j]), np.cumsum(size[i:j]), rows["doc"][i:j]))
-            parts.append(rows[i:j])
-        found = []
-        for (text, ends, owner), part, (at, least) in zip(shards, parts, suffixes.least_owners(shards, length), strict=True):
-            segment = np.searchsorted(ends, at, "right")
-            late = least < owner[segment]
-            at, segment = at[late], segment[late]
-            spans = np.empty(len(at), SPAN)
-            spans["doc"], spans["tag"] = part["doc"][segment], part["tag"][segment]
-            spans["start"] = part["start"][segment] + (at - (ends - np.diff(ends, prepend=0))[segment])
+        # Anchors share arrays as long as they fit into one.
+        ends = np.cumsum([len(t) for t in texts])
+        heads, found = [i for i, _ in runs_of(rows["anchor"])] + [len(rows)], []
+        i = 0
+        while i < len(heads) - 1:
+            j = i + 1
+            begin = ends[heads[i]] - len(texts[heads[i]])
+            while j < len(heads) - 1 and ends[heads[j + 1] - 1] - begin <= SHARD:
+                j += 1
+            part = rows[heads[i] : heads[j]]
+            which, where = late_starts(texts[heads[i] : heads[j]], part["doc"], length)
+            spans = np.empty(len(which), SPAN)
+            spans["doc"], spans["tag"] = part["doc"][which], part["tag"][which]
+            spans["start"] = part["start"][which] + where
             spans["end"] = spans["start"] + length
             found.append(joined(spans))
+            i = j
         spans = joined(np.concatenate(found))
         return pa.Table.from_batches(blob_batches(blobs(spans, doc_bucket(spans, n), A_SPAN)), schema=EMPTY.schema)
 

@@ -8,44 +8,49 @@ from __future__ import annotations
 
 import numpy as np
 
-FIRST = 7  # symbols of nine bits that a 63-bit key holds
+BITS, LARGEST = np.uint64(21), 1 << 21  # bits of a place, symbols of a shard at most
+FIRST = 4  # symbols of nine bits that fit a 64-bit number beside a place
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(order, rank)`` of all suffixes of ``text`` (uint8); ``ends`` are the segments' ends.
+    """``(order, rank)`` of all suffixes of ``text`` (uint8, up to 2**21 symbols); ``ends`` are the
+    segments' ends.
 
-    Suffixes are first sorted by seven symbols, then groups that are still equal at depth h are
-    refined by the rank of what follows h symbols later; sorted groups are left alone.
+    Suffixes are first sorted by four symbols, then groups that are still equal at depth h are
+    refined by the rank of what follows h symbols later; sorted groups are left alone. What is
+    sorted by and the place it belongs to share one 64-bit number.
     """
     n = len(text)
-    segment = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    left = ends[segment] - np.arange(n)  # symbols before the terminator
-    symbols = np.concatenate([text.astype(np.int64) + 1, np.zeros(FIRST, np.int64)])
-    key = np.zeros(n, np.int64)
+    if n > LARGEST:
+        raise ValueError(f"a shard has more than {LARGEST} symbols")
+    size = np.diff(ends, prepend=0)
+    segment = np.repeat(np.arange(len(ends), dtype=np.uint64), size)
+    left = np.repeat(ends, size) - np.arange(n)  # symbols before the terminator
+    symbols = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(FIRST, np.uint64)])
+    key, place, low = np.zeros(n, np.uint64), np.arange(n, dtype=np.uint64), np.uint64(LARGEST - 1)
     for j in range(FIRST):
-        key = key << 9 | np.where(left > j, symbols[j : n + j], 0)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-    heads = np.concatenate([[True], key[order[1:]] != key[order[:-1]]]) if n else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    rank[order] = first
+        key = key << np.uint64(9) | symbols[j : n + j] * (left > j)
+    sort = np.sort(key << BITS | place)
+    order, key = (sort & low).astype(np.int64), sort >> BITS
+    heads = np.append(True, key[1:] != key[:-1])[:n]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
+    at = np.flatnonzero(~(heads & np.append(heads[1:], True)))  # places whose suffixes are not yet told apart
     depth = FIRST
-    while True:
-        alone = heads & np.append(heads[1:], True)
-        at = np.flatnonzero(~alone)  # places in the order whose suffixes are not yet told apart
-        if not len(at):
-            return order, rank
+    while len(at):
         who = order[at]
-        ahead = who + depth
-        inside = left[who] >= depth  # the next symbol may be the terminator itself
-        after = np.where(inside & (left[who] > depth), rank[np.minimum(ahead, n - 1)] + len(ends), segment[who])
-        sort = np.lexsort((after, rank[who]))
-        who, group, after = who[sort], rank[who][sort], after[sort]
+        # Past the text comes the terminator itself, by segments and below any rank.
+        after = np.where(left[who] > depth, rank[np.minimum(who + depth, n - 1)] + np.uint64(len(ends)), segment[who])
+        # Groups are consecutive in ``at``, so sorting by group and what follows keeps them in place.
+        group = np.cumsum(np.append(True, rank[who[1:]] != rank[who[:-1]])).astype(np.uint64) - np.uint64(1)
+        sort = np.sort((group << (BITS + np.uint64(1)) | after) << BITS | np.arange(len(at), dtype=np.uint64))
+        who, key = who[(sort & low).astype(np.int64)], sort >> BITS
         order[at] = who
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
-        heads[at] = fresh
+        fresh = np.append(True, key[1:] != key[:-1])
         rank[who] = np.maximum.accumulate(np.where(fresh, at, 0))
+        at = at[~(fresh & np.append(fresh[1:], True))]
         depth *= 2
+    return order, rank
 
 
 def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -67,12 +72,17 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
     follows &= (before > starts[segment[before]]) & (text[i - 1] == text[before - 1])
     shared = np.zeros(n, np.int64)
     open_ = np.flatnonzero(~follows & (before >= 0))
+    # Eight symbols at a time: how many low bytes of two numbers are equal.
+    words = np.ndarray((n,), "<u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))
+    room = np.minimum(ends[segment[open_]] - open_, ends[segment[before[open_]]] - before[open_])
     while len(open_):
-        a, b = open_ + shared[open_], before[open_] + shared[open_]
-        same = (a < ends[segment[open_]]) & (b < ends[segment[before[open_]]])
-        same[same] = text[a[same]] == text[b[same]]
-        open_ = open_[same]
-        shared[open_] += 1
+        done = shared[open_]
+        differ = words[np.minimum(open_ + done, n - 1)] ^ words[np.minimum(before[open_] + done, n - 1)]
+        equal = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+        equal = np.minimum(equal, room - done)
+        shared[open_] += equal
+        more = equal == 8
+        open_, room = open_[more], room[more]
     known = np.maximum.accumulate(np.where(follows, 0, i))
     shared = shared[known] - (i - known)
     return np.maximum(shared, 0)[order]
@@ -119,6 +129,7 @@ def least_owners(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length
     found = [shared_starts(*shard, length) for shard in shards]
     if len(shards) == 1:
         return [(order, least[group]) for order, group, least in found]
+    # Only the distinct strings of each shard are merged.
     table: tuple[np.ndarray, np.ndarray] = (np.zeros(0, f"S{length}"), np.zeros(0, np.int64))
     keys = []
     for (text, _, _), (order, group, least) in zip(shards, found, strict=True):

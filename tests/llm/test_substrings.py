@@ -80,7 +80,7 @@ def check(docs, length=50):
 @pytest.mark.parametrize("small", [False, True])
 def test_whole_table_equals_brute_force(spark, monkeypatch, small):
     if small:
-        for name, value in (("CHUNK", 20_000), ("BUCKET", 50_000), ("SHARD", 2_000), ("LONGEST", 40)):
+        for name, value in (("CHUNK", 20_000), ("BUCKET", 50_000), ("SHARD", 2_000), ("HOT", 3)):
             monkeypatch.setattr(substrings, name, value)
     got = check(spark.read.parquet(f"{SF}/documents.parquet"))
     assert sum(r[2] for r in got) > 10_000
