@@ -1,7 +1,6 @@
 """Exact substring dedup: bytes of strings of ``length`` that also start in an earlier document.
 
-Which strings are equal is told by suffix arrays and their common prefixes alone; hashes only
-bring together what may be, and leave out strings that no second document can have. Every string of
+Which strings are equal is told by suffix arrays and their common prefixes. Every string of
 ``length`` bytes has an anchor, the gram of ``GRAM`` bytes in it with the least hash (the first of
 equals), which depends on its bytes alone; strings that are equal have equal anchors. A document is
 cut into segments of consecutive starts with one anchor:
@@ -10,7 +9,9 @@ cut into segments of consecutive starts with one anchor:
    through suffix arrays. Starts whose string an earlier document of the chunk has are repeats;
    segments of nothing but repeats end there, so that of a passage that very many documents hold
    one copy goes on for each chunk. The others' anchors go to buckets.
-2. In a bucket, segments under anchors of several documents are wanted; of an anchor with very many
+2. In a bucket, equal segments (by anchor, length and 48 bits of a hash of their bytes) are a class: a
+   later document's are repeats, the earliest's stand for the class. Where an anchor still has
+   several of several documents, these are wanted; of an anchor with very many
    segments, only halves whose next ``SIDE`` bytes on their side of the anchor, by a hash, several
    documents have as well, and these are dealt anew by those bytes. Wanted bytes are fetched.
 3. By shards of bounded size, suffix arrays and common prefixes group equal strings, the shards of
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +43,24 @@ SHARD = 1 << 21  # bytes of a suffix array
 HOT = 1024  # segments of an anchor from which it is split
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 LOW = np.uint64(0xFFFFFFFF)
+BASE = 0x100000001B3
 #: A segment's place: document, tag (tells rows of one id apart), first start; ``n`` starts.
 PLACE = [("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("n", np.uint16)]
 #: Within a bucket, 32 bits of an anchor do: one that meets another's only has more segments compared.
 #: ``left`` starts lie more than ``SIDE`` bytes before the anchor; hashes of the bytes on either side.
-SENT = np.dtype([("anchor", np.uint32), *PLACE, ("left", np.uint16), ("before", np.uint16), ("after", np.uint16)])
+SENT = np.dtype([("anchor", np.uint32), ("content", np.uint64), *PLACE, ("left", np.uint16), ("before", np.uint16), ("after", np.uint16)])
 WANTED = np.dtype([("anchor", np.uint32), ("bucket", np.uint32), *PLACE])
 SPAN = np.dtype([("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("end", np.uint32)])
 
 
+@lru_cache(maxsize=4)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse modulo 2**64."""
+    up, down = np.full(1 << bits, BASE, np.uint64), np.full(1 << bits, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(32)) * MIX[0]
     return h ^ h >> np.uint64(29)
@@ -78,6 +89,9 @@ def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         begin = np.clip(begin, 0, len(words) - 1)
         second = np.minimum(begin + SIDE - 8, len(words) - 1)
         rows[name] = mixed(words[begin] * MIX[1] + words[second] * MIX[2]) >> np.uint64(48)
+    up, down = powers(max(16, int(len(data)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+    rows["content"] = mixed((sums[first + rows["n"] + length - 1] - sums[first]) * down[first]) >> np.uint64(16)
     return rows, hashes[at]
 
 
@@ -165,7 +179,7 @@ def blobs(rows: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple[int, in
 
 
 CODEC = pa.Codec("zstd", 1)
-HASHES = ("seed", "anchor")  # columns whose neighbours tell nothing of each other
+HASHES = ("seed", "anchor", "content", "before", "after")  # columns whose neighbours tell nothing of each other
 
 
 def packed(rows: np.ndarray) -> bytes:
@@ -278,7 +292,16 @@ def meet(sent: DataFrame, length: int, n: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows, spans = read(table, A_SENT, SENT), read(table, A_SPAN, SPAN)
         rows = rows[shared(rows["anchor"], rows["doc"])]
-        rows = rows[np.argsort(np.ascontiguousarray(rows["anchor"]), kind="stable")]
+        rows = rows[np.lexsort((rows["n"], rows["content"], rows["anchor"]))]
+        if len(rows):
+            heads = heads_of(rows["anchor"], rows["content"], rows["n"])
+            again = rows["doc"] > np.minimum.reduceat(rows["doc"], np.flatnonzero(heads))[np.cumsum(heads) - 1]
+            copies = np.empty(int(again.sum()), SPAN)
+            for name in ("doc", "tag", "start"):
+                copies[name] = rows[name][again]
+            copies["end"] = copies["start"].astype(np.int64) + rows["n"][again] + length - 1
+            spans, rows = np.concatenate([spans, joined(copies)]), rows[~again]
+            rows = rows[shared(rows["anchor"], rows["doc"])]
         at = np.flatnonzero(np.append(heads_of(rows["anchor"]), True))
         hot = np.repeat(np.diff(at) >= HOT, np.diff(at))
         wanted = np.concatenate([places_of(rows[~hot], table.column("bucket")[0].as_py()), halves(rows[hot], n)])
