@@ -1,12 +1,15 @@
 """Line dedup by winnowing over line hashes.
 
-Lines that are not blank are hashed. In every window of ``run`` consecutive lines of a document
-the least hash (the last of equals) is selected: two windows of equal lines select the same one,
-so a run of ``run`` lines that occurs twice has a selected fingerprint in both places. Selected
-fingerprints that occur once are dropped; around the others a match is extended both ways, by
-all windows that selected it, and a window is a repeat if an equal window starts earlier, in
-order of document and line. Repeated windows that overlap or touch join to runs, and the lines
-of those runs are deleted.
+1. Lines that are not blank are hashed. In every window of ``run`` consecutive lines of a document
+   the least hash (the last of equals) is selected: two windows of equal lines select the same one,
+   so a run of ``run`` lines that occurs twice has a selected fingerprint in both places. Shorter
+   windows count as well if they hold over ``words`` words, so that a long paragraph is found on
+   whatever number of lines it stands.
+2. Fingerprints are reduced to their first and last places; those with one place are dropped.
+3. Positions of the others are joined: each window that selected one with the earliest place of
+   the same lines, in order of document and line. Pairs that go on along one diagonal are a match,
+   extended both ways as far as both documents agree.
+4. The later side of every match is a repeated run; runs that overlap or touch are deleted as one.
 """
 
 from __future__ import annotations
@@ -14,65 +17,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evwatch.llm import common
+
+SPACE = r"[\t\x0B\f\r ]"
+
 
 def numbered_lines(text: Column) -> Column:
-    """Array of (line number, hash) of the lines that are not blank."""
+    """Array of (line number, two hashes, words) of the lines that are not blank."""
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("no"), F.rtrim(x).alias("line")))
-    full = F.filter(lines, lambda x: F.length(F.trim(F.regexp_replace(x["line"], r"[\t\x0B\f\r]", " "))) > 0)
-    return F.transform(full, lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["line"]).alias("hash")))
+    full = F.filter(lines, lambda x: F.length(F.trim(F.translate(x["line"], "\t\x0b\f\r", "    "))) > 0)
+    n_words = lambda x: F.regexp_count(x["line"], F.lit(r"[^\t\x0B\f\r ]+"))
+    return F.transform(full, lambda x: F.struct(x["no"].alias("no"), F.xxhash64(x["line"]).alias("hash"), F.hash(x["line"]).alias("hash2"), n_words(x).alias("n_words")))
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """A row for each window: its document, first and last line number, content key and
-    selected fingerprint."""
+def windows(docs: DataFrame, id_col: str, text_col: str, run: int, words: int) -> DataFrame:
+    """A row for each window: its document, place among the full lines, number of lines, first and
+    last line number, content keys, selected fingerprint and the fingerprint's place."""
     text = F.col(text_col).cast("string")
     rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), numbered_lines(text).alias("lines")
     )
-    rows = rows.where(F.size("lines") >= run).dropDuplicates(["doc_id", "text_hash"])
-    starts = F.sequence(F.lit(1), F.size("lines") - run + 1)
+    rows = rows.where(F.size("lines") > 0).dropDuplicates(["doc_id", "text_hash"])
 
-    def one(i: Column) -> Column:
-        part = F.slice("lines", i, run)
-        hashes = F.transform(part, lambda x: x["hash"])
-        least = F.array_min(F.transform(hashes, lambda h, k: F.struct(h.alias("hash"), (-k).alias("back"))))
+    def one(i: Column, n: int) -> Column:
+        part = F.slice("lines", i, n)
+        least = F.array_min(F.transform(part, lambda x, k: F.struct(x["hash"].alias("hash"), (-k).alias("back"))))
         return F.struct(
             (i - 1).alias("at"),
+            F.lit(n).alias("n_lines"),
             F.element_at(part, 1)["no"].alias("first"),
-            F.element_at(part, run)["no"].alias("last"),
-            F.xxhash64(hashes).alias("key"),
-            F.xxhash64(F.lit(run), hashes).alias("key2"),
+            F.element_at(part, n)["no"].alias("last"),
+            F.xxhash64(F.transform(part, lambda x: x["hash"])).alias("key"),
+            F.hash(F.transform(part, lambda x: x["hash2"])).alias("key2"),
             least["hash"].alias("print"),
             (i - 1 - least["back"]).alias("print_at"),
         )
 
-    return rows.select("doc_id", "text_hash", F.inline(F.transform(starts, one)))
+    def of_length(n: int) -> Column:
+        starts = F.when(F.size("lines") >= n, F.sequence(F.lit(1), F.size("lines") - n + 1)).otherwise(F.array().cast("array<int>"))
+        if n < run:
+            in_all = lambda i: F.aggregate(F.slice("lines", i, n), F.lit(0), lambda s, x: s + x["n_words"])
+            starts = F.filter(starts, lambda i: in_all(i) > words)
+        return F.transform(starts, lambda i: one(i, n))
 
+    return rows.select("doc_id", "text_hash", F.inline(F.concat(*(of_length(n) for n in range(1, run + 1)))))
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
-    """Maximal runs of lines of which every window of ``run`` starts earlier too:
-    ``doc_id, text_hash, first_line, last_line``, by line numbers from 0."""
-    found = windows(docs, id_col, text_col, run)
-    prints = found.select("doc_id", "text_hash", "print", "print_at").distinct()
-    shared = prints.groupBy("print").count().where("count > 1").select("print")
-    near = found.join(shared, "print", "left_semi")
+
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, words: int = 50) -> DataFrame:
+    """Windows with an equal one before them, and where that is: ``doc_id, text_hash, at, n_lines,
+    first, last, src_id, src_hash, src_at``."""
+    found = common.stored(windows(docs, id_col, text_col, run, words))
+    place = F.struct("doc_id", "print_at", "text_hash")
+    prints = found.groupBy("print").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    near = found.join(common.stored(prints.where("least <> most").select("print")), "print", "left_semi")
     place = F.struct("doc_id", "at", "text_hash")
-    earliest = near.groupBy("key", "key2").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1")
-    again = near.join(earliest, ["key", "key2"]).where(
-        (F.col("earliest.doc_id") < F.col("doc_id")) | (F.col("earliest.doc_id") == F.col("doc_id")) & (F.col("earliest.at") < F.col("at"))
-    )
-    of_doc = Window.partitionBy("doc_id", "text_hash").orderBy("at")
-    starts = (F.col("at") - F.lag("at").over(of_doc) > run) | F.lag("at").over(of_doc).isNull()
-    island = F.sum(starts.cast("int")).over(of_doc)
-    return (
-        again.select("doc_id", "text_hash", "first", "last", island.alias("island"))
-        .groupBy("doc_id", "text_hash", "island")
-        .agg(F.min("first").alias("first_line"), F.max("last").alias("last_line"))
-        .drop("island")
+    key = ["key", "key2", "n_lines"]
+    first = near.groupBy(*key).agg(F.min(place).alias("src"), F.max(place).alias("most")).where("src <> most")
+    joined = near.join(common.stored(first.select(*key, "src")), key)
+    earlier = (F.col("src.doc_id") < F.col("doc_id")) | (F.col("src.doc_id") == F.col("doc_id")) & (F.col("src.at") < F.col("at"))
+    return joined.where(earlier).select(
+        "doc_id", "text_hash", "at", "n_lines", "first", "last", F.col("src.doc_id").alias("src_id"), F.col("src.text_hash").alias("src_hash"), F.col("src.at").alias("src_at")
     )
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
+def islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """``rows`` with a number ``island``, one for rows of a key that overlap or touch."""
+    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col(start) > F.max(end).over(before), F.lit(True))
+    return rows.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def repeated_runs(found: DataFrame) -> DataFrame:
+    """``matches`` extended to maximal runs: ``doc_id, text_hash, first_line, last_line`` by line
+    numbers from 0, and where the run is in its source, by full lines: ``src_id, src_hash, src_at``."""
+    pair = ["doc_id", "text_hash", "src_id", "src_hash", "diagonal"]
+    rows = found.withColumn("diagonal", F.col("at") - F.col("src_at")).withColumn("until", F.col("at") + F.col("n_lines"))
+    runs = islands(rows, pair, "at", "until").groupBy(*pair, "island")
+    return runs.agg(F.min("at").alias("at"), F.max("until").alias("until"), F.min("first").alias("first_line"), F.max("last").alias("last_line"), F.min("src_at").alias("src_at")).drop("diagonal", "island")
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, words: int = 50) -> DataFrame:
     """``docs`` with the lines of ``repeated_runs`` deleted from their texts; all rows stay.
 
     Lines are equal if they are up to spaces at their ends; blank lines take no part, those
@@ -80,14 +104,21 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stays null, an empty one empty. A row without an id is neither a source nor changed.
     Repeated rows, the same id with the same text, are one document and are changed alike; an
     id's rows with other texts are compared by line number. A text of which all lines go is
-    empty. An empty table gives an empty result; other columns stay as they are.
+    empty. An empty table gives an empty result; other columns stay as they are, whatever their
+    names. Ids must be numbers.
     """
-    runs = repeated_runs(docs, id_col, text_col, run)
-    deleted = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_line", "last_line")).alias("__runs"))
-    deleted = deleted.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__runs")
+    runs = repeated_runs(matches(docs, id_col, text_col, run, words))
+    spans = islands(runs, ["doc_id", "text_hash"], "at", "until").groupBy("doc_id", "text_hash", "island")
+    spans = spans.agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
+    deleted = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("runs"))
+    row, cut = F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.struct("runs").alias("cut")
     text = docs[text_col].cast("string")
-    joined = docs.join(deleted, (docs[id_col].cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    inside = lambda i: F.exists("__runs", lambda r: i.between(r["first_line"], r["last_line"]))
-    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~inside(i)), "\n")
-    new = F.when(F.col("__runs").isNull(), text).otherwise(rest)
-    return joined.select(*(new.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    left = docs.select(row, docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    joined = left.join(deleted.select("doc_id", "text_hash", cut), ["doc_id", "text_hash"], "left")
+    lines, gone = F.split("text", "\n", -1), F.col("cut.runs")
+    # What lies before each run, from the end of the one before it, and what lies after the last.
+    edges = F.concat(gone, F.array(F.struct(F.size(lines).alias("first_line"), F.lit(0).alias("last_line"))))
+    begin = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get(edges, i - 1)["last_line"] + 2)
+    parts = F.transform(edges, lambda r, i: F.slice(lines, begin(i), F.greatest(r["first_line"] - begin(i) + 1, F.lit(0))))
+    new = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
+    return joined.select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -91,18 +91,22 @@ WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no
   FROM documents
 ), full_line AS (
-  SELECT doc_id, no, rtrim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS pos
+  SELECT doc_id, no, rtrim(line, ' ') AS line, len(regexp_extract_all(line, '[^ \t\x0B\f\r]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS pos
   FROM line WHERE regexp_matches(line, '[^ \t\x0B\f\r]')
-), win AS (
-  SELECT doc_id, pos, no AS first, lead(no, 2) OVER d AS last, line AS a, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c
+), next AS (
+  SELECT doc_id, pos, no, lead(no, 1) OVER d AS no1, lead(no, 2) OVER d AS no2, line AS a, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c, words, words + lead(words, 1) OVER d AS words1
   FROM full_line WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), win AS (
+  SELECT doc_id, pos, 3 AS n, no AS first, no2 AS last, a, b, c FROM next WHERE no2 IS NOT NULL
+  UNION ALL SELECT doc_id, pos, 2, no, no1, a, b, NULL FROM next WHERE no1 IS NOT NULL AND words1 > 50
+  UNION ALL SELECT doc_id, pos, 1, no, no, a, NULL, NULL FROM next WHERE words > 50
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS k FROM win WHERE last IS NOT NULL
+  SELECT *, row_number() OVER (PARTITION BY n, a, b, c ORDER BY doc_id, pos) AS k FROM win
 ), again AS (
-  SELECT doc_id, pos, first, last, CASE WHEN pos - lag(pos) OVER d <= 3 THEN 0 ELSE 1 END AS fresh
-  FROM ranked WHERE k > 1 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, n, first, last, CASE WHEN pos <= max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+  FROM ranked WHERE k > 1
 ), island AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM again
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos, n ROWS UNBOUNDED PRECEDING) AS island FROM again
 ), run AS (
   SELECT doc_id, island, min(first) AS first, max(last) AS last FROM island GROUP BY ALL
 ), rest AS (
