@@ -119,24 +119,26 @@ FROM documents d LEFT JOIN rest r USING (doc_id)
 """,
     "op5_rotation": r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said, turn // 1024 AS part FROM conversations
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS said, turn // 1024 AS part FROM conversations
+), cut AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, who, said) - 1) // 1024 AS piece FROM said
 ), speaker AS (
   SELECT DISTINCT conv_id, who AS speaker FROM said WHERE who <> 'system'
 ), each AS (
-  SELECT s.conv_id, speaker, part, turn, who, said, who = speaker AS own,
+  SELECT s.conv_id, speaker, part, piece, turn, who, said, who = speaker AS own,
     '<|im_start|>' || CASE WHEN who = speaker THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head,
     said || '<|im_end|>' AS body
-  FROM said s JOIN speaker p ON s.conv_id = p.conv_id
+  FROM cut s JOIN speaker p ON s.conv_id = p.conv_id
 ), placed AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, who, said ROWS UNBOUNDED PRECEDING) AS stop FROM each
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY turn, who, said ROWS UNBOUNDED PRECEDING) AS stop FROM each
 ), parts AS (
-  SELECT conv_id, speaker, part, count(*) AS n_turns, max(stop) AS n_chars,
+  SELECT conv_id, speaker, part, piece, count(*) AS n_turns, max(stop) AS n_chars,
     string_agg(head || body || chr(10), '' ORDER BY turn, who, said) AS text,
     coalesce(string_agg(CASE WHEN own THEN (stop - length(body) - 1)::BIGINT || ':' || (stop - 1)::BIGINT END, ',' ORDER BY turn, who, said), '') AS masks
   FROM placed GROUP BY ALL
 )
-SELECT conv_id, speaker, part, n_turns::INT AS n_turns,
-  coalesce(sum(n_chars) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_offset,
+SELECT conv_id, speaker, part, piece, n_turns::INT AS n_turns,
+  coalesce(sum(n_chars) OVER (PARTITION BY conv_id, speaker ORDER BY part, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_offset,
   text, masks
 FROM parts
 """,

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 from math import log2
@@ -69,3 +70,29 @@ def test_allow_list(text, suppressed):
 def test_digest_of_no_spans(spark):
     row = queries.op6_secrets(spark, SF).where("n_assign + n_access + n_hex = 0").first()
     assert row.base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+SHAPES = [
+    (20, LOWER + DIGITS), (20, UPPER + DIGITS), (20, LOWER + UPPER + DIGITS), (24, LOWER + UPPER + DIGITS + "+/"), (32, "abcdef" + DIGITS), (32, "ABCDEF" + DIGITS),
+    (40, LOWER + UPPER), (40, LOWER + UPPER + DIGITS), (44, LOWER + UPPER + DIGITS + "+/"), (64, LOWER + DIGITS + "-_"),
+]
+
+
+@pytest.mark.parametrize("size, characters", SHAPES)
+def test_recall_of_random_strings(size, characters):
+    rng, allowed, n = random.Random(7), [re.compile(p) for p in secrets.ALLOWED], 500
+    found = 0
+    for _ in range(n):
+        key = "".join(rng.choice(characters) for _ in range(size))
+        found += any(min(b, size + 8) - max(a, 8) >= 0.8 * size for a, _, b in secrets.scan(f"the key {key} is", allowed))
+    print(size, len(characters), found / n)
+    assert found >= 0.97 * n
+
+
+@pytest.mark.parametrize("text", [
+    "internationalization-of-the-documents", "InternationalBusinessMachinesCorporation", "path/to/some/directory/2024/05/file-name_v2", "2024-05-17T12-30-00-000000", "THIS_IS_A_LONG_CONSTANT_NAME_42",
+    "Donaudampfschifffahrtsgesellschaft", "0000000000000000000000000000", "----------------------------------", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1",
+])
+def test_names_are_no_secrets(text):
+    assert not [s for s in secrets.scan(text, [re.compile(p) for p in secrets.ALLOWED]) if s[1] == 3]
