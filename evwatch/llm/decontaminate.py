@@ -107,7 +107,7 @@ def located(corpus: DataFrame, tests: DataFrame, test_id_col: str, test_text_col
     windows = common.stored(test_windows(tests, test_id_col, test_text_col, size))
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
     counts = corpus.select(F.explode("all").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    wanted = common.stored(lookups(windows, counts))
+    wanted = common.stored(lookups(windows, common.stored(counts)))
     looked_up = wanted.select("term", F.lit(True).alias("rarest"))
     for k in range(1, LISTS):
         looked_up = looked_up.unionByName(wanted.select(F.col(f"term{k}").alias("term"), F.lit(False).alias("rarest")))

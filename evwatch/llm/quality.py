@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,17 +54,36 @@ class Band:
 
 def default_bands() -> dict[str, Band]:
     """By language, else by script. Those of languages lie just outside of what the labelled good
-    documents of the test data show; those of scripts are wide."""
+    documents of the test data show; those of scripts are wide: a byte-level vocabulary without a
+    script's words spends up to a token on each byte, so the least characters lie just above one
+    character for all of its UTF-8 bytes."""
     return {
         "en": Band(1.95, 8.0, 0.05, 4.15, 0.211),
         "de": Band(1.80, 8.0, 0.05, 4.70, 0.152),
         "fr": Band(1.60, 8.0, 0.05, 4.71, 0.127),
         "es": Band(1.55, 8.0, 0.05, 4.44, 0.156),
         "latin": Band(1.40, 8.0, 0.10, 3.50, 0.150),
-        "other": Band(0.25, 8.0, 0.95, 2.50, 0.150),
+        **{script: Band(0.52, 8.0, 0.95, 2.50, 0.150) for script in ("greek", "cyrillic", "hebrew", "arabic")},
+        **{script: Band(0.34, 8.0, 0.97, 2.50, 0.150) for script in ("devanagari", "thai", "hangul", "kana", "han")},
+        "other": Band(0.25, 8.0, 0.97, 2.50, 0.150),
     }
 
 
+#: First and last code points of each script's letters. Fixed values of the Unicode block table.
+SCRIPTS = {
+    "latin": ((0x0041, 0x024F), (0x1E00, 0x1EFF)),
+    "greek": ((0x0370, 0x03FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x0400, 0x052F),),
+    "hebrew": ((0x0590, 0x05FF),),
+    "arabic": ((0x0600, 0x06FF), (0x0750, 0x077F)),
+    "devanagari": ((0x0900, 0x097F),),
+    "thai": ((0x0E00, 0x0E7F),),
+    "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
+    "kana": ((0x3040, 0x30FF),),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
+}
+
+
 @dataclass(frozen=True)
 class Rules:
     least_words: int = 50
@@ -187,11 +207,18 @@ def repeated_lines(data: bytes) -> int:
 
 
 def script_of(text: str) -> str:
-    """``latin`` if most letters are below U+0250, those of no letters included, else ``other``."""
+    """The script that most letters are in, of equals the first; ``latin`` for no letters, ``kana`` for
+    Han letters with a tenth of kana among them, as Japanese has them."""
     if text.isascii():
         return "latin"
-    letters = [c < "ɐ" for c in text if c.isalpha()]
-    return "latin" if 2 * sum(letters) >= len(letters) else "other"
+    letters = Counter(c for c in text if c.isalpha())
+    n = dict.fromkeys([*SCRIPTS, "other"], 0)
+    for c, times in letters.items():
+        at = ord(c)
+        n[next((name for name, spans in SCRIPTS.items() if any(a <= at <= b for a, b in spans)), "other")] += times
+    if n["kana"] * 10 >= n["han"] + n["kana"] > 0:
+        n["kana"] += n.pop("han")
+    return max(n, key=n.get) if letters else "latin"
 
 
 def measure(text: str, words: Words) -> list[float]:
@@ -215,7 +242,7 @@ def verdict(row: list[float], lang: str | None, text: str, rules: Rules) -> tupl
     """Whether a base rule fails, and whether the document is kept."""
     n_words, n_repeat = row[0], row[4]
     failed = n_words < rules.least_words or 100 * n_repeat > rules.most_repeat_percent * n_words
-    band = rules.bands.get(lang or "") or rules.bands[script_of(text)]
+    band = rules.bands.get(lang or "") or rules.bands.get(script_of(text)) or rules.bands["other"]
     chars, byte_share, entropy = row[-3:]
     least_entropy = band.entropy + band.slope * math.log2(max(row[5], 1))
     inside = band.least_chars <= chars <= band.most_chars and byte_share <= band.most_bytes and entropy >= least_entropy

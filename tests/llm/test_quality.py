@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import Counter
 from math import log2
 
@@ -28,7 +29,15 @@ def brute(text, bpe, pieces):
             chars / len(ids) if ids else 0.0, n_bytes / max(len(cut), 1), entropy]
 
 
-ODD = [None, "", " \n\t", "a", "a b c a b c", "日本 語 " * 40, "x\nx\nx \n\n\nx", "#*$%&|<> " * 60, "same words again " * 100, "q" * 30_000, "\U0001f600 " * 80]
+def brute_band(text):
+    names = {"LATIN": "latin", "GREEK": "greek", "CYRILLIC": "cyrillic", "HEBREW": "hebrew", "ARABIC": "arabic", "DEVANAGARI": "devanagari", "THAI": "thai", "HANGUL": "hangul", "HIRAGANA": "kana", "KATAKANA": "kana", "CJK": "han"}
+    n = Counter(names.get(unicodedata.name(c, "?").split()[0].split("-")[0], "other") for c in text if c.isalpha())
+    if n["kana"] * 10 >= n["han"] + n["kana"] > 0:
+        n["kana"] += n.pop("han", 0)
+    return quality.default_bands()[n.most_common(1)[0][0] if n else "latin"]
+
+
+ODD = [None, "", " \n\t", "a", "a b c a b c", "日本 語 " * 40, "x\nx\nx \n\n\nx", "#*$%&|<> " * 60, "same words again " * 100, "q" * 30_000, "\U0001f600 " * 80, " ".join(f"слово{i} и дело{i % 9} пошло" for i in range(40)), " ".join(f"日本{chr(0x4e00 + i)}は東京です" for i in range(90)), " ".join(f"λόγος{i} και έργο" for i in range(40))]
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +49,7 @@ def test_measures_equal_brute_force(spark, models):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(10_000 + i, t, None) for i, t in enumerate(ODD)], "doc_id long, text string, lang string")
     docs = docs.unionByName(odd)
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    texts, langs = ({r.doc_id: r[c] for r in docs.collect()} for c in ("text", "lang"))
     rows = quality.assess(docs, keep=["doc_id"]).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -48,7 +57,9 @@ def test_measures_equal_brute_force(spark, models):
         assert [r[c] for c in quality.LONGS] == want[:7], r
         assert all(abs(r[c] - x) < 1e-9 for c, x in zip(quality.DOUBLES, want[7:])), r
         failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
-        assert r.base_failed == failed and not (failed and r.kept)
+        band = quality.default_bands().get(langs[r.doc_id]) or brute_band(texts[r.doc_id] or "")
+        inside = band.least_chars <= want[7] <= band.most_chars and want[8] <= band.most_bytes and want[9] >= band.entropy + band.slope * log2(max(want[5], 1))
+        assert r.base_failed == failed and r.kept == (inside and not failed)
 
 
 def test_remembering_few_words_changes_nothing(models, monkeypatch):
