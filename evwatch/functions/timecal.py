@@ -81,7 +81,7 @@ def session_table(
 def clock(sessions: DataFrame) -> DataFrame:
     """A row for each day from a month before the first session to the last: the session (if any),
     seconds open before the day, and the next open and close once the day's own times are past.
-    A time on another day has no reading: its columns are null.
+    A time on another day has no reading: reading it raises.
 
     The table has as many rows as the calendar has days, so it may be broadcast and its windows
     may run over all of it.
@@ -100,26 +100,32 @@ def clock(sessions: DataFrame) -> DataFrame:
     )
 
 
-def read_clock(df: DataFrame, days: DataFrame, ts: str, prefix: str) -> DataFrame:
-    """``df`` with ``<prefix>_clock`` (open seconds up to ``ts``), ``_open`` (whether a session
+def read_clock(df: DataFrame, days: DataFrame, ts: str, prefix: str, optional: bool = False) -> DataFrame:
+    """A time that is null or out of the calendar raises; with ``optional`` a null time reads null.
+
+    ``df`` with ``<prefix>_clock`` (open seconds up to ``ts``), ``_open`` (whether a session
     holds it), ``_next_open`` and ``_next_close`` (both strictly after it)."""
     names = {c: f"__{prefix}_{c}" for c in days.columns}
     there = F.broadcast(days.select([F.col(c).alias(n) for c, n in names.items()]))
     out = df.join(there, F.floor(F.col(ts) / 86400) == F.col(names["day"]), "left")
     at, opens, closes = F.col(ts), F.col(names["open_utc"]), F.col(names["close_utc"])
+    known = F.col(names["day"]).isNotNull() | (at.isNull() if optional else F.lit(False))
+    lost = F.raise_error(F.concat(F.lit(f"{ts} is out of the calendar: "), F.coalesce(at.cast("string"), F.lit("null"))))
+    before = F.when(known, F.col(names["open_before"])).otherwise(lost.cast("long"))
     into = F.coalesce(F.greatest(F.least(at, closes) - opens, F.lit(0)), F.lit(0))
     return (
-        out.withColumn(f"{prefix}_clock", F.col(names["open_before"]) + into)
+        out.withColumn(f"{prefix}_clock", before + F.when(at.isNotNull(), into))
         .withColumn(f"{prefix}_open", F.coalesce((at >= opens) & (at < closes), F.lit(False)))
-        .withColumn(f"{prefix}_next_open", F.when(at < opens, opens).otherwise(F.col(names["later_open"])))
-        .withColumn(f"{prefix}_next_close", F.when(at < closes, closes).otherwise(F.col(names["later_close"])))
+        .withColumn(f"{prefix}_next_open", F.when(before.isNotNull(), F.when(at < opens, opens).otherwise(F.col(names["later_open"]))))
+        .withColumn(f"{prefix}_next_close", F.when(before.isNotNull(), F.when(at < closes, closes).otherwise(F.col(names["later_close"]))))
         .drop(*names.values())
     )
 
 
-def trading_hours(df: DataFrame, days: DataFrame, start: str, end: str, name: str) -> DataFrame:
-    """``df`` with the trading hours of [start, end): 0 if equal; an end before the start raises."""
-    out = read_clock(read_clock(df, days, start, "__a"), days, end, "__b")
+def trading_hours(df: DataFrame, days: DataFrame, start: str, end: str, name: str, optional: bool = False) -> DataFrame:
+    """``df`` with the trading hours of [start, end): 0 if equal; an end before the start raises, as do
+    times that are out of the calendar and, but for ``optional``, null."""
+    out = read_clock(read_clock(df, days, start, "__a", optional), days, end, "__b", optional)
     span = (F.col("__b_clock") - F.col("__a_clock")) / 3600.0
     checked = F.when(F.col(end) < F.col(start), F.raise_error(F.lit("end before start")).cast("double")).otherwise(span)
     added = [f"{p}_{c}" for p in ("__a", "__b") for c in ("clock", "open", "next_open", "next_close")]

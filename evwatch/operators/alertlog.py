@@ -23,9 +23,26 @@ def row_text() -> Column:
 
 
 def scan(predictions: DataFrame, detector: str, threshold: float) -> DataFrame:
-    """Alerts of the rows that a detector flags."""
-    fired = predictions.where("action = 'FLAG'").select("ticker", "ts_utc", F.lit(detector).alias("detector"), "score", F.lit(threshold).cast("double").alias("threshold"))
-    return fired.withColumn("alert_id", alert_id(F.col("detector"), F.col("ticker"), F.col("ts_utc"))).dropDuplicates(["alert_id"])
+    """Alerts of the rows that a detector flags; of a ticker's windows at one time, that of the first."""
+    fired = predictions.where("action = 'FLAG'").groupBy("ticker", "ts_utc").agg(F.min_by("score", "window_id").alias("score"))
+    fired = fired.select("ticker", "ts_utc", F.lit(detector).alias("detector"), "score", F.lit(threshold).cast("double").alias("threshold"))
+    return fired.withColumn("alert_id", alert_id(F.col("detector"), F.col("ticker"), F.col("ts_utc")))
+
+
+def with_features(alerts: DataFrame, matrix: DataFrame, columns: list[str]) -> DataFrame:
+    """``alerts`` with ``features``: JSON of their row of ``matrix``, of several the first by all
+    columns; values that aren't finite are null. Without a row it is null."""
+    from evwatch.functions.scalars import finite
+
+    told = F.struct(*(finite(F.col(c).cast("double")).alias(c) for c in columns))
+    rows = matrix.groupBy("ticker", "ts_utc").agg(F.min(told).alias("__row"))
+    out = alerts.join(rows, ["ticker", "ts_utc"], "left")
+    return out.withColumn("features", F.to_json("__row", {"ignoreNullFields": "false"})).drop("__row")
+
+
+def ordered(alerts: DataFrame, appending: bool = False) -> DataFrame:
+    """As scans tell alerts, by time, or as they are appended, by detector first."""
+    return alerts.orderBy(*(("detector", "ts_utc", "ticker") if appending else ("ts_utc", "detector", "ticker")))
 
 
 def append(log: DataFrame | None, alerts: DataFrame) -> DataFrame:
@@ -73,11 +90,13 @@ def outcomes(alerts: DataFrame, filings: DataFrame, days: DataFrame, span_h: int
     found = asof(due, filings, "ticker", "ts_utc", "filed_utc", {"__at": F.col("filed_utc"), "__no": F.col("accession_no"), "__items": F.col("items")}, "forward", strict=True)
     hit = F.col("__at") <= F.col("ts_utc") + span_h * 3600
     out = found.withColumn("t0_utc", F.when(hit, F.col("__at"))).withColumn("accession_no", F.when(hit, F.col("__no"))).withColumn("item_code", F.when(hit, F.col("__items")))
-    return trading_hours(out, days, "ts_utc", "t0_utc", "lead_trading_h").select("alert_id", F.coalesce(hit, F.lit(False)).cast("int").alias("filed"), "accession_no", "item_code", "t0_utc", "lead_trading_h")
+    return trading_hours(out, days, "ts_utc", "t0_utc", "lead_trading_h", optional=True).select("alert_id", F.coalesce(hit, F.lit(False)).cast("int").alias("filed"), "accession_no", "item_code", "t0_utc", "lead_trading_h")
 
 
-def unscored(alerts: DataFrame, known: DataFrame) -> DataFrame:
-    return alerts.join(known.select("alert_id"), "alert_id", "left_anti")
+def unscored(alerts: DataFrame, known: DataFrame, limit: int | None = None) -> DataFrame:
+    """Alerts without an outcome, the oldest first."""
+    rows = alerts.join(known.select("alert_id"), "alert_id", "left_anti").orderBy("ts_utc", "detector", "ticker")
+    return rows if limit is None else rows.limit(limit)
 
 
 def hit_rates(alerts: DataFrame, known: DataFrame) -> DataFrame:
@@ -136,3 +155,7 @@ def queue(stated: DataFrame, since: int, detector: str | None = None, state: str
     if state:
         rows = rows.where(F.col("state") == state)
     return rows.withColumn("multiple", multiple(F.col("score"), F.col("threshold"))).orderBy(F.col("multiple").desc(), "ts_utc", "ticker")
+
+
+def queue_stats(stated: DataFrame) -> DataFrame:
+    return stated.agg(F.count_if(F.col("state") == "open").alias("open"), F.count_if(F.col("state") == "unscored").alias("unscored"), F.max(multiple(F.col("score"), F.col("threshold"))).alias("strongest"))

@@ -13,9 +13,9 @@ PER_WINDOW = ("t0_utc", "ticker", "is_scheduled", "item_code")
 
 
 def conform(df: DataFrame) -> DataFrame:
-    missing = [c for c in COLUMNS if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+    """The contract's columns, in its types and order; all others are left behind."""
+    if absent := sorted({*COLUMNS} - {*df.columns}):
+        raise ValueError(f"predictions lack {absent}")
     return df.select(*(F.col(c).cast(kind) for c, kind in COLUMNS.items()))
 
 
@@ -33,7 +33,7 @@ def violations(df: DataFrame) -> DataFrame:
         "score is not finite": F.max(F.coalesce(F.isnan("score") | (F.abs("score") == float("inf")), F.lit(False))),
         **{f"{c} differs within a window": v for c, v in varied.items()},
         "is_scheduled is not null exactly with t0": F.max(F.col("is_scheduled").isNull() != F.col("t0_utc").isNull()),
-        "item_code without t0": F.max(F.col("item_code").isNotNull() & F.col("t0_utc").isNull()),
+        "item_code is not null exactly with t0": F.max(F.col("item_code").isNull() != F.col("t0_utc").isNull()),
         "unknown action": F.max(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False))),
         "more than one FLAG": F.count(F.when(F.col("action") == "FLAG", 1)) > 1,
         "a row after t0": F.max(F.coalesce(F.col("ts_utc") > F.col("t0_utc"), F.lit(False))) & labelled,
@@ -69,10 +69,14 @@ def minimum_wait(df: DataFrame, days: DataFrame, hours: float) -> DataFrame:
     return waited.withColumn("action", F.when(early, "WAIT").otherwise(F.col("action"))).drop("__start", "__waited")
 
 
-def floored(df: DataFrame) -> DataFrame:
-    """Scores that aren't finite one below the least finite score of the frame, 0 if there is none."""
+def floored(df: DataFrame, policy: str = "floor") -> DataFrame:
+    """Scores that aren't finite one below the least finite score of the frame, 0 if there is none;
+    with policy ``error`` a window without any finite score raises."""
     from evwatch.functions.scalars import finite
 
+    if policy == "error":
+        alive = F.max(finite(F.col("score")).isNotNull()).over(Window.partitionBy("window_id"))
+        df = df.where(F.when(alive, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no finite score in "), "window_id")).cast("boolean")))
     least = df.agg(F.coalesce(F.min(finite(F.col("score"))) - 1, F.lit(0.0)).alias("__floor"))
     return df.join(F.broadcast(least)).withColumn("score", F.coalesce(finite(F.col("score")), F.col("__floor"))).drop("__floor")  # one row
 

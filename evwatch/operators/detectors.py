@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evwatch.functions.scalars import clean_observation
+from evwatch.functions.timecal import sealed_guard
 from evwatch.operators import contract
 
 REGISTRY: dict[str, type[Detector]] = {}
@@ -31,12 +32,21 @@ class Detector:
     def score(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn("score", self.score_column())
 
-    def predict(self, frame: DataFrame, threshold: float | None = None) -> DataFrame:
+    columns: tuple[str, ...] = ()  # features that scores are made of
+
+    def predict(self, frame: DataFrame, threshold: float | None = None, sealed: tuple[int, int] | None = None, wait: tuple[DataFrame, float] | None = None, unscoreable: str = "floor") -> DataFrame:
         """``frame`` (window_id, ticker, ts_utc, t0_utc, is_scheduled, item_code, features) as
-        conforming predictions."""
-        scored = contract.floored(self.score(frame).withColumn("score", F.col("score").cast("double")))
+        conforming predictions. Rows in a ``sealed`` period raise; with ``wait``, a clock and trading
+        hours, flags sooner after a window's start are taken back. What breaks the contract is for
+        ``contract.validated`` to tell."""
+        if absent := sorted({*self.columns} - {*frame.columns}):
+            raise ValueError(f"the frame lacks {absent}")
+        if sealed:
+            frame = sealed_guard(frame, "ts_utc", *sealed)
+        scored = contract.floored(self.score(frame).withColumn("score", F.col("score").cast("double")), unscoreable)
         at = F.lit(self.threshold if threshold is None else threshold)
-        return contract.conform(scored.withColumn("action", contract.first_crossing(scored, at)))
+        acted = scored.withColumn("action", contract.first_crossing(scored, at))
+        return contract.conform(contract.minimum_wait(acted, *wait) if wait else acted)
 
 
 @register("constant")
@@ -61,6 +71,8 @@ class Noise(Detector):
 
 @register("volume_z")
 class VolumeZ(Detector):
+    columns = ("volume_z",)
+
     def __init__(self, threshold: float = 2.648):
         self.threshold = threshold
 
@@ -134,6 +146,8 @@ def cusum_no_reset(values: DataFrame, k: float, by: str = "ticker", ts: str = "t
 
 @register("cusum")
 class Cusum(Detector):
+    columns = ("volume_z",)
+
     def __init__(self, k: float = 1.5, h: float = 1.5):
         self.k, self.threshold = k, h
 

@@ -79,12 +79,33 @@ def news_features(bars: DataFrame, news: DataFrame, hours: tuple[int, ...]) -> D
     return out
 
 
-def ticker_features(bars: DataFrame, cfg: Config) -> DataFrame:
+def price_features(bars: DataFrame, cfg: Config) -> DataFrame:
     """Returns, volume z and volatility on the full history of each ticker."""
     out = bars.withColumns(returns(cfg.horizons)).withColumn("volume_z", volume_z(cfg.z_window, cfg.z_min))
     return with_volatility(out, cfg.vol_window)
 
 
+def ticker_features(bars: DataFrame, benchmark: DataFrame, filings: DataFrame, news: DataFrame | None, days: DataFrame, cfg: Config) -> DataFrame:
+    """All features of each bar on its ticker's full history, to be sliced afterwards. ``benchmark``:
+    ts_utc, b_close; ``filings``: ticker, items, at; ``days``: a clock; no news, no news features."""
+    from evwatch.functions.timecal import hours_to_close
+
+    out = with_benchmark(price_features(bars, cfg), benchmark, cfg.horizons)
+    out = days_since(out, filings, "days_since_last_8k")
+    scheduled = F.lit(False)
+    for code in cfg.scheduled_items:
+        scheduled = scheduled | F.col("items").contains(code)
+    out = days_since(out, filings.where(scheduled), "days_since_last_earnings")
+    out = hours_to_close(out, days, "ts_utc", "hours_to_close")
+    return out if news is None else news_features(out, news, cfg.news_windows_h)
+
+
+def feature_names(cfg: Config, with_news: bool = True) -> list[str]:
+    names = [f"ret_{h}h" for h in cfg.horizons] + ["volume_z", "volatility"] + [f"ret_rel_{h}h" for h in cfg.horizons]
+    names += ["days_since_last_8k", "days_since_last_earnings", "hours_to_close"]
+    return names + (["hours_since_news", *(f"news_{kind}_{h}h" for h in cfg.news_windows_h for kind in ("count", "breadth"))] if with_news else [])
+
+
 def moving_average_normal(bars: DataFrame, flagged: DataFrame, column: str, days: int = 30) -> DataFrame:
     """For each flagged bar: median, 5th and 95th percentile of ``column`` over the days strictly
     before it, and the share of those values below its own. ``flagged``: ticker, ts_utc, value."""

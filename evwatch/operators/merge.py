@@ -81,7 +81,8 @@ def replace_flags(companies: DataFrame, survivors: DataFrame, as_of: int, expect
     )
     got = out.agg(F.sum("in_universe")).first()[0] or 0
     if got != expected:
-        raise ValueError(f"{got} rows flagged, {expected} expected")
+        lost = survivors.join(out.where("in_universe = 1").select("ticker"), "ticker", "left_anti").select("ticker").orderBy("ticker").limit(10)
+        raise ValueError(f"{got} rows flagged, {expected} expected; without a row: {', '.join(r.ticker for r in lost.collect())}")
     return out
 
 
@@ -104,3 +105,40 @@ def pending(requested: DataFrame, state: DataFrame, source: str) -> DataFrame:
     """Requested keys that aren't completed yet."""
     done = state.where((F.col("source") == source) & (F.col("status") == "ok")).select("key")
     return requested.join(done, "key", "left_anti")
+
+
+def pruned(target: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
+    """How many stored rows ``prune`` takes away."""
+    return target.join(keep.select(*keys).distinct(), keys, "left_anti").agg(F.count("*").alias("pruned"))
+
+
+def broken_reasons(events: DataFrame) -> DataFrame:
+    """Events that are usable in spite of a reason: there must be none."""
+    return events.where("usable = 1 AND exclude_reason IS NOT NULL")
+
+
+def record_state(state: DataFrame, updates: DataFrame) -> DataFrame:
+    """The progress table (source, key, status, records, rows, error) with updates written over it."""
+    return merge(state, updates, ["source", "key"], default=OVERWRITE)
+
+
+def keys_with(state: DataFrame, source: str, status: str) -> DataFrame:
+    return state.where((F.col("source") == source) & (F.col("status") == status)).select("key")
+
+
+def set_values(table: DataFrame, values: DataFrame) -> DataFrame:
+    """A key/value table (key, value, ts_utc): the value with the later stamp stays, of equals the new one."""
+    both = table.withColumn("__new", F.lit(0)).unionByName(values.withColumn("__new", F.lit(1)))
+    return last_of(both, ["key"], ["ts_utc", "__new"]).drop("__new")
+
+
+def write_events(stored: DataFrame, rebuilt: DataFrame, provenance: DataFrame, built_utc: int, tier: int | None, lookback_s: int) -> tuple[DataFrame, DataFrame]:
+    """The events to store, rebuilt ones over old and stale ones gone, and the provenance with when
+    and by what they were built, and how many took their time from news."""
+    events = prune(merge(stored, rebuilt, ["event_id"]), rebuilt, ["event_id"])
+    told = rebuilt.agg(F.count_if(F.col("t0_source") == "news").cast("string").alias("n"))
+    pairs = F.array(
+        F.struct(F.lit("events.built_utc").alias("key"), F.lit(str(built_utc)).alias("value")), F.struct(F.lit("events.tier").alias("key"), F.lit(str(tier)).alias("value")),
+        F.struct(F.lit("events.lookback_s").alias("key"), F.lit(str(lookback_s)).alias("value")), F.struct(F.lit("events.from_news").alias("key"), F.col("n").alias("value")),
+    )
+    return events, set_values(provenance, told.select(F.inline(pairs)).withColumn("ts_utc", F.lit(built_utc).cast("long")))

@@ -30,11 +30,12 @@ def alert_budget(df: DataFrame, rate: float, most: int | None = None) -> int:
 
 def threshold_at(summary: DataFrame, budget: int) -> float:
     """The peak of the ``budget``-th window; all ties at it will be alerts."""
+    from evwatch.operators.labels import at_ranks
+
     if budget <= 0:
         return float("inf")
-    if budget >= summary.count():
-        return float("-inf")
-    return summary.orderBy(F.col("peak").desc()).limit(budget).agg(F.min("peak")).first()[0]
+    found = at_ranks(summary, "peak", {"threshold": lambda n: n - budget}).first()[0]
+    return float("-inf") if found is None else found
 
 
 def sliced(summary: DataFrame, excluded: tuple[str, ...]) -> DataFrame:

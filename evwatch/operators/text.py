@@ -98,9 +98,3 @@ def engagement(posts: DataFrame, snapshots: DataFrame, hours: int) -> DataFrame:
     late = posts.select("id", "created_utc").join(snapshots, "id").where(F.col("seen_utc") >= F.col("created_utc") + hours * 3600)
     first = late.groupBy("id").agg(F.min_by("seen_score", "seen_utc").alias("__score"))
     return posts.join(first, "id", "left").withColumn(f"score_{hours}h", F.coalesce("__score", F.lit(0))).drop("__score")
-
-
-def keyword_column(text: Column, keywords: list[str]) -> Column:
-    from evwatch.functions.scalars import keyword_class
-
-    return keyword_class(text, keywords)

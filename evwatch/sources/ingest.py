@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evwatch.functions.scalars import domain_of, name_stem, normal_items
-from evwatch.functions.timecal import compact_to_epoch
+from evwatch.functions.timecal import ZONED, compact_to_epoch
 
 
 def company_map(spark: SparkSession, path: str, exchanges: tuple[str, ...], as_of: int) -> DataFrame:
@@ -51,9 +51,10 @@ def pages_to_read(pages: DataFrame, since: int, until: int) -> DataFrame:
 
 
 def filing_rows(raw: DataFrame, forms: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Filings of exactly these forms, and the rows that can't be read."""
+    """Filings of exactly these forms, and the rows that can't be read: without a key, or without an
+    acceptance time that tells its zone."""
     rows = raw.where(F.col("form").isin(*forms))
-    at = F.unix_seconds(F.try_to_timestamp("acceptance"))
+    at = F.when(F.col("acceptance").rlike(ZONED), F.unix_seconds(F.try_to_timestamp("acceptance")))
     day = F.unix_timestamp(F.try_to_timestamp(F.nullif(F.trim("filing_date"), F.lit("")), F.lit("yyyy-MM-dd")))
     out = rows.withColumn("acceptance_utc", at).withColumn("filing_date_utc", day).withColumn("items", normal_items(F.col("items")))
     good = F.col("acceptance_utc").isNotNull() & F.col("accession_no").isNotNull() & (F.col("accession_no") != "")
@@ -135,3 +136,24 @@ def high_water(bars: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = wanted.join(have, "ticker", "left")
     start = F.when(F.col("start_utc").between(F.col("__min"), F.col("__max")), F.col("__max") + 1).otherwise(F.col("start_utc"))
     return rows.withColumn("start_utc", start).where("start_utc < end_utc").drop("__min", "__max")
+
+
+def clamped(wanted: DataFrame, now: int, interval: str, default_start: int) -> DataFrame:
+    """Ranges with a start: the default where none is asked for; hourly bars are kept for 729 days."""
+    start = F.coalesce("start_utc", F.lit(default_start).cast("long"))
+    return wanted.withColumn("start_utc", start if interval == "1d" else F.greatest(start, F.lit(now - 729 * 86400).cast("long")))
+
+
+def reread(stored: DataFrame, landed: DataFrame, key: str, ts: str, overlap_s: int) -> DataFrame:
+    """New rows of ``landed`` from ``overlap_s`` before the newest stored time on, so that late ones
+    aren't missed; known keys are skipped."""
+    newest = stored.agg(F.max(ts).alias("__newest"))  # one row
+    late = landed.join(F.broadcast(newest)).where(F.col("__newest").isNull() | (F.col(ts) >= F.col("__newest") - overlap_s)).drop("__newest")
+    return late.join(stored.select(key), key, "left_anti")
+
+
+def new_posts(stored: DataFrame, landed: DataFrame, by: str, ts: str = "created_utc") -> DataFrame:
+    """Posts after the newest stored one of their group, known ids left out; a new group from its start."""
+    mark = stored.groupBy(by).agg(F.max(ts).alias("__mark"))
+    fresh = landed.join(mark, by, "left").where(F.col("__mark").isNull() | (F.col(ts) > F.col("__mark"))).drop("__mark")
+    return fresh.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti").select(*landed.columns)
