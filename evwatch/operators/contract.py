@@ -76,7 +76,8 @@ def floored(df: DataFrame, policy: str = "floor") -> DataFrame:
 
     if policy == "error":
         alive = F.max(finite(F.col("score")).isNotNull()).over(Window.partitionBy("window_id"))
-        df = df.where(F.when(alive, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no finite score in "), "window_id")).cast("boolean")))
+        told = F.raise_error(F.concat(F.lit("no finite score in "), "window_id")).cast("double")
+        df = df.withColumn("__alive", alive).withColumn("score", F.when(F.col("__alive"), F.col("score")).otherwise(told)).drop("__alive")
     least = df.agg(F.coalesce(F.min(finite(F.col("score"))) - 1, F.lit(0.0)).alias("__floor"))
     return df.join(F.broadcast(least)).withColumn("score", F.coalesce(finite(F.col("score")), F.col("__floor"))).drop("__floor")  # one row
 

@@ -34,7 +34,7 @@ def threshold_at(summary: DataFrame, budget: int) -> float:
 
     if budget <= 0:
         return float("inf")
-    found = at_ranks(summary, "peak", {"threshold": lambda n: n - budget}).first()[0]
+    found = at_ranks(summary, "peak", {"threshold": lambda n: F.when(n > budget, n - budget)}).first()[0]
     return float("-inf") if found is None else found
 
 

@@ -31,10 +31,10 @@ VIEWS |= {
     "f_days": SQL["days_since_filings"],
     "f_news": SQL["news_features"],
     "f_hours": """SELECT ts_utc, CASE WHEN bool_or(ts_utc >= open_utc AND ts_utc < close_utc) THEN min(CASE WHEN close_utc > ts_utc THEN close_utc END) - ts_utc
-  ELSE min(CASE WHEN close_utc > ts_utc THEN close_utc END) - min(CASE WHEN open_utc > ts_utc THEN open_utc END) END / 3600.0 AS hours_to_close
+  ELSE min(CASE WHEN close_utc > ts_utc THEN close_utc END) - min(CASE WHEN open_utc > ts_utc THEN open_utc END) END / 3600.0::DOUBLE AS hours_to_close
   FROM (SELECT DISTINCT ts_utc FROM bars) CROSS JOIN sessions GROUP BY ts_utc""",
-    "matrix": """SELECT z.ticker, z.ts_utc, ret_1h, ret_4h, round(volume_z, 6) AS volume_z, volatility, ret_rel_1h, ret_rel_4h, round(days_since_last_8k, 6) AS days_since_last_8k, round(days_since_last_earnings, 6) AS days_since_last_earnings,
-  round(hours_to_close, 6) AS hours_to_close, round(hours_since_news, 6) AS hours_since_news, news_count_24h, news_breadth_24h, news_count_72h, news_breadth_72h
+    "matrix": """SELECT z.ticker, z.ts_utc, ret_1h, ret_4h, round(volume_z, 6) AS volume_z, volatility, ret_rel_1h, ret_rel_4h, days_since_last_8k, days_since_last_earnings,
+  hours_to_close, hours_since_news, news_count_24h, news_breadth_24h, news_count_72h, news_breadth_72h
   FROM z JOIN f_ret USING (ticker, ts_utc) JOIN f_vol USING (ticker, ts_utc) JOIN f_rel USING (ticker, ts_utc) JOIN f_days USING (ticker, ts_utc) JOIN f_news USING (ticker, ts_utc) JOIN f_hours USING (ts_utc)""",
 }
 HOURS_OPEN = "sum(greatest(0, least({b}, close_utc) - greatest({a}, open_utc)))"
@@ -274,7 +274,7 @@ def verified_predecessors(spark, sf_dir):
 def feature_matrix(spark, sf_dir):
     names = features.feature_names(SMALL)
     out = matrix(spark, sf_dir).select("ticker", "ts_utc", *names)
-    return rounded(out, *(c for c in names if not c.startswith("news_")))
+    return rounded(out, *(c for c in names if c.startswith(("ret_", "vol"))))
 
 
 AS_OF = LOW + 20 * DAY
@@ -283,7 +283,7 @@ AS_OF = LOW + 20 * DAY
 @query(f"SELECT 'live:' || ticker || ':' || ts_utc AS window_id, ticker, ts_utc, volume_z, days_since_last_8k FROM matrix WHERE ts_utc <= {AS_OF} QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts_utc DESC) <= 3")
 def latest_bar_frame(spark, sf_dir):
     out = monitor.latest_bars(matrix(spark, sf_dir), AS_OF, 3)
-    return rounded(out.select("window_id", "ticker", "ts_utc", "volume_z", "days_since_last_8k"), "volume_z", "days_since_last_8k")
+    return rounded(out.select("window_id", "ticker", "ts_utc", "volume_z", "days_since_last_8k"), "volume_z")
 
 
 @query(f"""WITH f AS (SELECT ticker, ts_utc, volume_z, ret_1h FROM matrix WHERE ts_utc <= {AS_OF} QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts_utc DESC) <= 3),

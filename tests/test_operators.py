@@ -155,7 +155,7 @@ def test_merges(spark):
 def test_no_feature_looks_ahead(spark):
     bars = adapters.hourly_bars(spark, SF)
     cut = bars.agg(F.percentile("ts_utc", 0.5)).first()[0]
-    bad = features.lookahead(lambda b: features.ticker_features(b, SMALL), bars, int(cut), ["ret_1h", "ret_4h", "volume_z", "volatility"])
+    bad = features.lookahead(lambda b: features.price_features(b, SMALL), bars, int(cut), ["ret_1h", "ret_4h", "volume_z", "volatility"])
     assert bad.count() == 0
     cheat = lambda b: b.withColumn("ahead", F.lead("close").over(features.of_ticker()))
     assert features.lookahead(cheat, bars, int(cut), ["ahead"]).count() > 0
@@ -185,7 +185,7 @@ def test_contract(spark):
         ([{"score": None}], "null in a required column"), ([{"score": float("nan")}], "score is not finite"), ([{"action": "SELL"}], "unknown action"),
         ([{}, {}], "repeated (window_id, ts_utc)"), ([{"ts_utc": 1, "ticker": "q"}, {}], "ticker differs within a window"),
         ([{"t0_utc": 5, "is_scheduled": True}], "a row after t0"), ([{"t0_utc": None, "is_scheduled": True}], "is_scheduled is not null exactly with t0"),
-        ([{"action": "FLAG"}, {"ts_utc": 1, "action": "FLAG"}], "more than one FLAG"), ([{"t0_utc": None, "item_code": "8.01", "is_scheduled": None}], "item_code without t0"),
+        ([{"action": "FLAG"}, {"ts_utc": 1, "action": "FLAG"}], "more than one FLAG"), ([{"t0_utc": None, "item_code": "8.01", "is_scheduled": None}], "item_code is not null exactly with t0"), ([{"t0_utc": 5, "item_code": None, "is_scheduled": True}], "item_code is not null exactly with t0"),
     ]
     for rows, rule in cases:
         assert rule in {r.rule for r in contract.violations(frame(*rows)).collect()}, rule
