@@ -37,7 +37,6 @@ def windows(docs: DataFrame, id_col: str, text_col: str, run: int, words: int) -
     rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), numbered_lines(text).alias("lines")
     )
-    rows = rows.where(F.size("lines") > 0).dropDuplicates(["doc_id", "text_hash"])
 
     def one(i: Column, n: int) -> Column:
         part = F.slice("lines", i, n)
@@ -65,9 +64,9 @@ def windows(docs: DataFrame, id_col: str, text_col: str, run: int, words: int) -
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, words: int = 50) -> DataFrame:
     """Windows with an equal one before them, and where that is: ``doc_id, text_hash, at, n_lines,
-    first, last, src_id, src_hash, src_at``."""
+    first, last, src_id, src_hash, src_at``. Repeated rows are told once."""
     found = common.stored(windows(docs, id_col, text_col, run, words))
-    place = F.struct("doc_id", "print_at", "text_hash")
+    place = F.xxhash64("doc_id", "print_at", "text_hash")
     prints = found.groupBy("print").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     near = found.join(common.stored(prints.where("least <> most").select("print")), "print", "left_semi")
     place = F.struct("doc_id", "at", "text_hash")
@@ -77,7 +76,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
     earlier = (F.col("src.doc_id") < F.col("doc_id")) | (F.col("src.doc_id") == F.col("doc_id")) & (F.col("src.at") < F.col("at"))
     return joined.where(earlier).select(
         "doc_id", "text_hash", "at", "n_lines", "first", "last", F.col("src.doc_id").alias("src_id"), F.col("src.text_hash").alias("src_hash"), F.col("src.at").alias("src_at")
-    )
+    ).distinct()
 
 
 def islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -111,10 +110,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans = islands(runs, ["doc_id", "text_hash"], "at", "until").groupBy("doc_id", "text_hash", "island")
     spans = spans.agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
     deleted = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("runs"))
-    row, cut = F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.struct("runs").alias("cut")
+    # The text travels once, beside the other columns.
+    row, cut = F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("row"), F.struct("runs").alias("cut")
     text = docs[text_col].cast("string")
     left = docs.select(row, docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    joined = left.join(deleted.select("doc_id", "text_hash", cut), ["doc_id", "text_hash"], "left")
+    # Runs grow with the texts, so they meet by a shuffle at every size.
+    joined = left.join(deleted.select("doc_id", "text_hash", cut).hint("merge"), ["doc_id", "text_hash"], "left")
     lines, gone = F.split("text", "\n", -1), F.col("cut.runs")
     # What lies before each run, from the end of the one before it, and what lies after the last.
     edges = F.concat(gone, F.array(F.struct(F.size(lines).alias("first_line"), F.lit(0).alias("last_line"))))
