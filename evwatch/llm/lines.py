@@ -68,11 +68,12 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
     found = common.stored(windows(docs, id_col, text_col, run, words))
     place = F.xxhash64("doc_id", "print_at", "text_hash")
     prints = found.groupBy("print").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-    near = found.join(common.stored(prints.where("least <> most").select("print")), "print", "left_semi")
+    # Prints and places grow with the texts, so they meet windows by a shuffle at every size.
+    near = found.join(common.stored(prints.where("least <> most").select("print")).hint("merge"), "print", "left_semi")
     place = F.struct("doc_id", "at", "text_hash")
     key = ["key", "key2", "n_lines"]
     first = near.groupBy(*key).agg(F.min(place).alias("src"), F.max(place).alias("most")).where("src <> most")
-    joined = near.join(common.stored(first.select(*key, "src")), key)
+    joined = near.join(common.stored(first.select(*key, "src")).hint("merge"), key)
     earlier = (F.col("src.doc_id") < F.col("doc_id")) | (F.col("src.doc_id") == F.col("doc_id")) & (F.col("src.at") < F.col("at"))
     return joined.where(earlier).select(
         "doc_id", "text_hash", "at", "n_lines", "first", "last", F.col("src.doc_id").alias("src_id"), F.col("src.text_hash").alias("src_hash"), F.col("src.at").alias("src_at")
