@@ -3,6 +3,10 @@ that a dashboard shows of them."""
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from evwatch.config import DAY
 from evwatch.functions.scalars import among, multiple, parse_items
 from evwatch.operators.joins import asof
 
-#: Links of the chain that one row of state holds while a batch is chained.
+#: Columns that an alert has, and its row of the log.
 CHAIN_FIELDS = ("alert_id", "ts_utc", "ticker", "detector", "score", "threshold")
 
 
@@ -49,23 +53,28 @@ def append(log: DataFrame | None, alerts: DataFrame) -> DataFrame:
     """New rows for the log: known ids are skipped, ``seq`` and ``prev_sha`` go on from each
     detector's last row. A chain is one after the other by nature; its fold holds a batch's rows
     of one detector, as the log is written a batch at a time."""
-    new, heads = alerts, None
+    new = alerts.select(*CHAIN_FIELDS, row_text().alias("text"))
     if log is not None:
-        new = alerts.join(log.select("alert_id"), "alert_id", "left_anti")
+        new = new.join(log.select("alert_id"), "alert_id", "left_anti")
         heads = log.groupBy("detector").agg(F.max("seq").alias("last_seq"), F.max_by("row_sha", "seq").alias("head"))
-    item = F.struct("ts_utc", "ticker", row_text().alias("text"), "alert_id", "score", "threshold")
-    rows = new.groupBy("detector").agg(F.sort_array(F.collect_list(item)).alias("rows"))
-    rows = rows.join(heads, "detector", "left") if heads is not None else rows.withColumn("last_seq", F.lit(None).cast("long")).withColumn("head", F.lit(None).cast("string"))
-    start = F.struct(F.coalesce("head", F.lit("")).alias("sha"), F.array().cast("array<string>").alias("shas"))
-
-    def link(acc: Column, row: Column) -> Column:
-        sha = F.sha2(F.concat(acc["sha"], F.lit("|"), row["text"]), 256)
-        return F.struct(sha.alias("sha"), F.concat(acc["shas"], F.array(sha)).alias("shas"))
-
-    chained = rows.withColumn("shas", F.aggregate("rows", start, link, lambda acc: acc["shas"]))
-    each = chained.select("detector", "last_seq", "head", "shas", F.posexplode("rows").alias("i", "r"))
-    prev = F.when(F.col("i") == 0, F.coalesce("head", F.lit(""))).otherwise(F.get("shas", F.col("i") - 1))
-    return each.select("r.alert_id", "r.ts_utc", "r.ticker", "detector", "r.score", "r.threshold", (F.coalesce("last_seq", F.lit(0)) + F.col("i") + 1).alias("seq"), prev.alias("prev_sha"), F.get("shas", F.col("i")).alias("row_sha"))
+        new = new.join(heads, "detector", "left")
+    else:
+        new = new.withColumn("last_seq", F.lit(None).cast("long")).withColumn("head", F.lit(None).cast("string"))
+    order = [(c, "ascending") for c in ("ts_utc", "ticker", "text", "alert_id", "score", "threshold")]
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, order, null_placement="at_start"))
+        last, sha = rows.column("last_seq")[0].as_py() or 0, rows.column("head")[0].as_py() or ""
+        prev, shas = [], []
+        for text in rows.column("text").to_pylist():
+            prev.append(sha)
+            sha = hashlib.sha256(f"{sha}|{text}".encode()).hexdigest()
+            shas.append(sha)
+        links = {"seq": pa.array(range(last + 1, last + 1 + len(shas)), pa.int64()), "prev_sha": pa.array(prev, pa.string()), "row_sha": pa.array(shas, pa.string())}
+        return pa.table({**{c: rows.column(c) for c in CHAIN_FIELDS}, **links})
+
+    kinds = dict(new.dtypes)
+    return new.groupBy("detector").applyInArrow(fold, ", ".join(f"{c} {kinds[c]}" for c in CHAIN_FIELDS) + ", seq long, prev_sha string, row_sha string")
 
 
 def chain_breaks(log: DataFrame) -> DataFrame:

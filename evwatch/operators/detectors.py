@@ -5,6 +5,8 @@ To add one, subclass ``Detector`` and register it; ``predict`` does the rest.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,44 +84,42 @@ class VolumeZ(Detector):
 
 def cusum(values: DataFrame, k: float, h: float, by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z", tie: str | None = None) -> DataFrame:
     """S = max(0, S + x - k) along each key; S is told before it falls back to 0 at h, a null or
-    infinite x tells null and keeps S. The fold runs over a key's values in order, in the JVM."""
+    infinite x tells null and keeps S."""
     if h < k:
         raise ValueError("h must not be below k")
-    usable = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x).cast("double"))
-    key = F.struct(F.col(ts).alias("ts"), *([F.col(tie).alias("tie")] if tie else []), usable.alias("x"))
-    rows = values.groupBy(by).agg(F.sort_array(F.collect_list(key)).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        s = F.greatest(F.lit(0.0), acc["s"] + row["x"] - k)
-        kept = F.when(row["x"].isNull(), acc["s"]).when(s >= h, 0.0).otherwise(s)
-        return F.struct(kept.alias("s"), F.concat(acc["out"], F.array(F.when(row["x"].isNotNull(), s))).alias("out"))
-
-    told = F.aggregate("rows", start, step, lambda acc: acc["out"])
-    out = rows.select(by, F.inline(F.arrays_zip(F.col("rows.ts").alias("ts"), told.alias("cusum"))))
-    return out.select(by, F.col("ts").alias(ts), "cusum")
+    return cusum_grid(values, [(k, h)], by, ts, x, tie).drop("k", "h")
 
 
-def cusum_grid(values: DataFrame, grid: list[tuple[float, float]], by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z") -> DataFrame:
-    """``k, h`` and the CUSUM of ``cusum`` for each legal pair of the grid (h not below k): a key's
-    rows are ordered once and folded once for each pair."""
+def cusum_grid(values: DataFrame, grid: list[tuple[float, float]], by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z", tie: str | None = None) -> DataFrame:
+    """``k, h`` and the CUSUM of ``cusum`` for each legal pair of the grid (h not below k). What falls
+    back can't be a window sum: a key's rows are ordered once and folded once for each pair."""
     legal = [(float(k), float(h)) for k, h in grid if h >= k]
     if not legal:
         raise ValueError("no pair with h at or over k")
     usable = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x).cast("double"))
-    rows = values.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), usable.alias("x")))).alias("rows"))
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(h).alias("h")) for k, h in legal)))
-    each = rows.select(by, "rows", pairs.alias("p")).select(by, "rows", "p.k", "p.h")
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        s = F.greatest(F.lit(0.0), acc["s"] + row["x"] - F.col("k"))
-        kept = F.when(row["x"].isNull(), acc["s"]).when(s >= F.col("h"), 0.0).otherwise(s)
-        return F.struct(kept.alias("s"), F.concat(acc["out"], F.array(F.when(row["x"].isNotNull(), s))).alias("out"))
-
-    told = F.aggregate("rows", start, step, lambda acc: acc["out"])
-    out = each.select("k", "h", by, F.inline(F.arrays_zip(F.col("rows.ts").alias("ts"), told.alias("cusum"))))
-    return out.select("k", "h", by, F.col("ts").alias(ts), "cusum")
+    order = [("ts", "ascending"), *([("tie", "ascending")] if tie else []), ("x", "ascending")]
+    rows = values.select(F.col(by).alias("key"), F.col(ts).alias("ts"), *([F.col(tie).alias("tie")] if tie else []), usable.alias("x"))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, order, null_placement="at_start"))
+        xs, told = table.column("x").to_pylist(), []
+        for k, h in legal:
+            s, out = 0.0, []
+            for v in xs:
+                if v is None:
+                    out.append(None)
+                    continue
+                s = max(0.0, s + v - k)
+                out.append(s)
+                if s >= h:
+                    s = 0.0
+            pair = [pa.repeat(pa.scalar(v, pa.float64()), len(xs)) for v in (k, h)]
+            told.append(pa.table([*pair, table.column("key"), table.column("ts"), pa.array(out, pa.float64())], ["k", "h", "key", "ts", "cusum"]))
+        return pa.concat_tables(told)
+
+    kinds = dict(rows.dtypes)
+    out = rows.groupBy("key").applyInArrow(fold, f"k double, h double, key {kinds['key']}, ts {kinds['ts']}, cusum double")
+    return out.select("k", "h", F.col("key").alias(by), F.col("ts").alias(ts), "cusum")
 
 
 def tune_cusum(frame: DataFrame, grid: list[tuple[float, float]], budget: int) -> DataFrame:
