@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evwatch.tables import shared_dir, stored  # noqa: F401  the operators take them from here
+
 #: Rows of an Arrow batch, where the session has Spark's default of 10,000: texts are long, and the
 #: buffers of a batch stay with an executor for as long as it lives.
 BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -36,26 +35,6 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own on a session that
-    runs in one process, an error on a cluster, whose machines would not see it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evwatch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evwatch.llm import attribution, chat, decontaminate, lines, packing, passages, quality, secrets, simhash, substrings
+from evwatch.llm import attribution, chat, decontaminate, lines, merkle, packing, passages, quality, resampling, secrets, simhash, substrings
 from evwatch.llm.common import table
 
 
@@ -72,6 +72,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.manifest(merkle.leaves(table(spark, sf_dir, "documents"), tampered=changed))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_fertility": op2_fertility,
@@ -83,9 +94,74 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attribution": op8_attribution,
     "op9_suffixes": op9_suffixes,
     "op10_packing": op10_packing,
+    "op11_manifest": op11_manifest,
+    "op13_resampling": op13_resampling,
 }
 
+#: The CRC-32 of a text's UTF-8 bytes.
+CRC32 = """xor(list_reduce(list_transform(range(0, octet_length(encode({0}))), lambda k: ('0x' || substr(hex(encode({0})), 2 * k + 1, 2))::BIGINT),
+    lambda crc, byte: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, byte)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+def levels_sql(name: str, by: str, n_levels: int) -> str:
+    """``{name}0`` (by, i, n, h) up to its last level, ``{name}_walk0`` (row, by, i, given, proof) along it."""
+    out = []
+    for k in range(n_levels):
+        out.append(f"""{name}_run{k} AS (SELECT {by}, i // 8 AS i, n, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY {by}, i // 8, n)""")
+        out.append(f"""{name}{k + 1} AS (SELECT {by}, i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}_run{k})""")
+        out.append(f"""{name}_walk{k + 1} AS (
+  SELECT no, w.{by}, w.i // 8 AS i, CASE WHEN n > 1 THEN sha256(array_to_string(hs[: w.i % 8], '') || given || array_to_string(hs[w.i % 8 + 2 :], '')) ELSE given END AS given,
+    CASE WHEN n > 1 THEN proof || array_to_string(hs[: w.i % 8], '') || array_to_string(hs[w.i % 8 + 2 :], '') ELSE proof END AS proof
+  FROM {name}_walk{k} w JOIN {name}_run{k} r ON w.{by} IS NOT DISTINCT FROM r.{by} AND w.i // 8 = r.i)""")
+    return ",\n".join(out)
+
+
+def field_sql(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
+    "op11_manifest": f"""
+WITH leaf AS (
+  SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS no, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, {leaf_sql("text")} AS leaf, CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {leaf_sql(f"({LOWER_SQL})")} ELSE {leaf_sql("text")} END AS given FROM documents)
+), part0 AS (SELECT lang, i, n, leaf AS h FROM leaf), part_walk0 AS (SELECT no, lang, i, given, '' AS proof FROM leaf),
+{levels_sql("part", "lang", 8)},
+top0 AS (SELECT 0 AS whole, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM part8),
+top_walk0 AS (SELECT no, 0 AS whole, t.i, given, proof FROM part_walk8 w JOIN top0 t ON w.lang IS NOT DISTINCT FROM t.lang),
+{levels_sql("top", "whole", 3)}
+SELECT doc_id, leaf, p.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, w.given AS folded_root, w.given = t.h AS verified
+FROM leaf l JOIN top_walk3 w ON l.no = w.no JOIN part8 p ON l.lang IS NOT DISTINCT FROM p.lang, top3 t
+""",
+    "op13_resampling": rf"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS no, list_filter(string_split_regex({LOWER_SQL.replace("text", "coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), item AS (
+  SELECT list_filter(string_split_regex({LOWER_SQL.replace("text", "coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), raw AS (SELECT no, unnest(w) AS word FROM doc), wanted AS (SELECT unnest(w) AS word FROM item),
+word AS (SELECT word, {CRC32.format("word")} % 10000 AS bucket FROM (SELECT word FROM raw UNION SELECT word FROM wanted)),
+s AS (SELECT bucket, count(*) AS s FROM raw JOIN word USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM wanted JOIN word USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT sum(t) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), weight AS (
+  SELECT no, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM raw JOIN word USING (word) JOIN gain USING (bucket) GROUP BY no
+), scored AS (
+  SELECT doc_id, no, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM doc LEFT JOIN weight USING (no)
+), ranked AS (
+  SELECT no, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20 AND doc_id IS NOT NULL
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (no)
+""",
     "op4_lines": r"""
 WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no
