@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evwatch.llm import attribution, chat, decontaminate, lines, merkle, packing, passages, quality, resampling, secrets, simhash, substrings
+from evwatch.llm import attribution, chat, decontaminate, lines, merkle, packing, passages, quality, resampling, secrets, simhash, substrings, toxicity
 from evwatch.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffixes": op9_suffixes,
     "op10_packing": op10_packing,
     "op11_manifest": op11_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_resampling": op13_resampling,
 }
 
