@@ -41,6 +41,7 @@ SENTENCE = 24
 #: Characters of texts that are scored at once.
 CHUNK = 1 << 21
 SPELLED = re.compile(r"(?<!\S)\w(?:[^\w\n]{1,3}\w){2,}(?!\S)")
+MARKS = re.compile(r"\W+")
 BREAK, NOTHING = "\x00", -2.0
 TOP = 3
 BOUNDS = (-0.5, -0.2, 0.0, 0.2, 0.4, 0.6, 0.8, 1.0, 1.3)
@@ -188,9 +189,10 @@ def fitted(units: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list[
 
 
 def units_of(text: str) -> list[str]:
-    """A text's units in order, with breaks between sentences; spelled-out runs follow, each a sentence."""
+    """A text's units in order, with breaks between sentences; runs of letters that are spelled out follow,
+    put together, each a sentence."""
     text = text.lower()
-    spelled = [x for m in SPELLED.finditer(text) for x in (BREAK, m[0])]
+    spelled = [x for m in SPELLED.finditer(text) for x in (BREAK, MARKS.sub("", m[0]))]
     return text.replace(BREAK, " ").replace("\n", f" {BREAK} ").split() + spelled
 
 
@@ -221,7 +223,7 @@ class Batch:
         return np.maximum.reduceat(scores[self.ids], self.first) if len(self.first) else np.zeros(0)
 
     def features(self, scores: np.ndarray) -> np.ndarray:
-        """By document: its highest sentences, how many lie between each two ``BOUNDS``, also as a share, and how many
+        """By document: its highest sentences, how many are over each of ``BOUNDS``, also as a share, and how many
         there are."""
         told, n = self.sentences(scores), len(self.sizes)
         count = np.bincount(self.doc, minlength=n)
@@ -231,6 +233,8 @@ class Batch:
         kept = place < TOP
         top[self.doc[order][kept], place[kept]] = told[order][kept]
         bins = np.bincount(self.doc * (len(BOUNDS) + 1) + np.searchsorted(BOUNDS, told), minlength=n * (len(BOUNDS) + 1)).reshape(n, -1)[:, 1:]
+        # All that are over a bound, so that what lies between clean and toxic ones counts as well.
+        bins = np.cumsum(bins[:, ::-1], axis=1)[:, ::-1]
         share = np.sqrt(bins / np.maximum(count, 1)[:, None])
         return np.column_stack([np.clip(top, NOTHING, 2), np.log1p(bins), share, np.log1p(count)])
 
