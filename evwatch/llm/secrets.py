@@ -36,7 +36,7 @@ ASSIGN = re.compile(rf"(?:{'|'.join(map(either_case, KEYS))})[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGNED = 12
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 
 @dataclass(frozen=True)
@@ -52,19 +52,23 @@ class CharClass:
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", common.UPPER, "0123456789"
 #: Thresholds lie where 99 % and more of random windows of the class are over them: of 20 characters
-#: drawn from 16, 36, 62 and 66 kinds.
+#: drawn from 16, 36, 62 and 66 kinds. A shorter candidate is one window; for each character less its
+#: threshold is lower by ``SHORTER`` bits.
 CLASSES = (
     CharClass("hex", frozenset(DIGITS + "abcdef"), 2.8, 2),
     CharClass("HEX", frozenset(DIGITS + "ABCDEF"), 2.8, 2),
     CharClass("alnum", frozenset(LOWER + UPPER + DIGITS), 3.4, 2),
     CharClass("base64", frozenset(LOWER + UPPER + DIGITS + "+/_=-"), 3.6, 2),
 )
+SHORTER = 0.06
 #: A word as people write it: one case, or a capital first; letters at random hardly ever are.
 WORD = r"(?:[A-Z]?[a-z]{3,}|[A-Z]{3,})"
-#: What looks random but is no secret: placeholders, identifiers meant to be public, names made of
+#: What looks random but is no secret: placeholders (a word for one at either end, or nothing but a
+#: filler; a key that merely holds such a piece is a key), identifiers meant to be public, names made of
 #: words and numbers, dates.
 ALLOWED = (
-    r"(?i)\w*(?:example|placeholder|changeme|xxxx|0000|1234567)\w*",
+    r"(?i)(?:example|placeholder|changeme)\w*|\w*(?:example|placeholder|changeme)",
+    r"(?i)(?:x+|0+|0?123456789?0?|[-_/+=])+",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     rf"{WORD}{{1,8}}\d{{0,4}}",
     rf"[-_/+=]*(?:{WORD}|[A-Za-z]{{1,3}}\d{{0,2}}|\d{{1,8}})(?:[-_/+=]+(?:{WORD}|[A-Za-z]{{1,3}}\d{{0,2}}|\d{{1,8}}))+[-_/+=]*",
@@ -80,6 +84,8 @@ MIXED = {c: 0 if c in LOWER else 1 if c in UPPER else 2 if c in DIGITS else 3 fo
 
 def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans of a candidate that windows over a class's threshold cover, in order."""
+    lower = SHORTER * max(0, window - len(text))
+    window = min(window, len(text))
     if text.isalpha() and (text.islower() or text.isupper()):
         return []
     term = [0.0] + [c * log2(c) for c in range(1, window + 1)]
@@ -95,7 +101,7 @@ def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
                     outside[k] += step * (LACKING[x] >> k & 1)
         if i >= window - 1:
             bits, kinds = log2(window) - total / window + 1e-9, sum(map(bool, mixed[:3]))
-            if any(not n and bits >= kind.bits and kinds >= kind.mixes for n, kind in zip(outside, CLASSES, strict=True)):
+            if any(not n and bits >= kind.bits - lower and kinds >= kind.mixes for n, kind in zip(outside, CLASSES, strict=True)):
                 found.append((i - window + 1, i + 1))
     return joined(found)
 

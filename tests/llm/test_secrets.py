@@ -19,14 +19,15 @@ def brute_base(text):
 
 def brute_entropy(text):
     out = []
-    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
         c, marks = m[0], [False] * len(m[0])
         for kind in secrets.CLASSES:
-            for i in range(len(c) - 19):
-                w = c[i : i + 20]
+            size = min(20, len(c))
+            for i in range(len(c) - size + 1):
+                w = c[i : i + size]
                 mixes = any(x.islower() for x in w) + any(x.isupper() for x in w) + any(x.isdigit() for x in w)
-                if set(w) <= kind.characters and mixes >= kind.mixes and -sum(n / 20 * log2(n / 20) for n in Counter(w).values()) >= kind.bits - 1e-9:
-                    marks[i : i + 20] = [True] * 20
+                if set(w) <= kind.characters and mixes >= kind.mixes and -sum(n / size * log2(n / size) for n in Counter(w).values()) >= kind.bits - secrets.SHORTER * (20 - size) - 1e-9:
+                    marks[i : i + size] = [True] * size
         edges = [i for i in range(len(c) + 1) if (i < len(c) and marks[i]) != (i > 0 and marks[i - 1])]
         out += [(m.start() + a, m.start() + b) for a, b in zip(edges[::2], edges[1::2])]
     return out
@@ -54,7 +55,7 @@ def test_base_equals_brute_force_and_entropy_adds(spark):
         every = brute_entropy(text)
         assert set(added) <= set(every)
         for a, b in set(every) - set(added):  # suppressed by the allow-list
-            whole = next(m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if m.start() <= a < m.end())
+            whole = next(m for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text) if m.start() <= a < m.end())
             assert any(re.compile(p).fullmatch(text[a:b]) or re.compile(p).fullmatch(whole[0]) for p in secrets.ALLOWED)
         n.update(secrets.KINDS[k] for _, k, _ in spans)
     assert min(n[k] for k in ("assign", "access", "hex", "entropy")) > 0
@@ -74,7 +75,7 @@ def test_digest_of_no_spans(spark):
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 SHAPES = [
-    (20, LOWER + DIGITS), (20, UPPER + DIGITS), (20, LOWER + UPPER + DIGITS), (24, LOWER + UPPER + DIGITS + "+/"), (32, "abcdef" + DIGITS), (32, "ABCDEF" + DIGITS),
+    (16, LOWER + UPPER + DIGITS), (16, LOWER + UPPER + DIGITS + "+/"), (18, LOWER + UPPER + DIGITS), (18, LOWER + DIGITS), (20, LOWER + DIGITS), (20, UPPER + DIGITS), (20, LOWER + UPPER + DIGITS), (24, LOWER + UPPER + DIGITS + "+/"), (32, "abcdef" + DIGITS), (32, "ABCDEF" + DIGITS),
     (40, LOWER + UPPER), (40, LOWER + UPPER + DIGITS), (44, LOWER + UPPER + DIGITS + "+/"), (64, LOWER + DIGITS + "-_"),
 ]
 
@@ -90,6 +91,16 @@ def test_recall_of_random_strings(size, characters):
     assert found >= 0.97 * n
 
 
+@pytest.mark.parametrize("piece", ["0000", "1234567", "example", "xxxx"])
+def test_keys_that_hold_a_piece_of_a_placeholder(piece):
+    rng, allowed = random.Random(11), [re.compile(p) for p in secrets.ALLOWED]
+    found = 0
+    for _ in range(200):
+        key = "".join(rng.choice(LOWER + UPPER + DIGITS) for _ in range(40 - len(piece)))
+        found += any(b - a >= 20 for a, k, b in secrets.scan(key[:15] + piece + key[15:], allowed) if k == 3)
+    assert found >= 190
+
+
 @pytest.mark.parametrize("text", [
     "internationalization-of-the-documents", "InternationalBusinessMachinesCorporation", "path/to/some/directory/2024/05/file-name_v2", "2024-05-17T12-30-00-000000", "THIS_IS_A_LONG_CONSTANT_NAME_42",
     "Donaudampfschifffahrtsgesellschaft", "0000000000000000000000000000", "----------------------------------", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1",
