@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from evwatch.llm import common
 
 DECAY, SPAN, SYMBOLS = 0.7, 7, 64
+#: The weight of a subsequence by the characters that it spans; 0 stands for none.
+POWERS = np.append(0.0, DECAY ** np.arange(1, 8)).astype(np.float32)
 #: Longer units are looked at through windows of so many characters, which start so many apart.
 WIDTH, STEP = 16, 8
 WIDTHS = (8, 12, WIDTH)
@@ -92,16 +95,20 @@ def subsequences(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Of each row its subsequences as numbers, sorted, their weights and the root of its kernel with
     itself."""
     (i, j, k), span = triples(letters.shape[1])
-    a, b, c = (letters[:, x].astype(np.int32) for x in (i, j, k))
+    letters = letters.astype(np.int32)
+    a, b, c = (letters[:, x] for x in (i, j, k))
     packed = np.where((a | b | c) >= 0, (((a * SYMBOLS + b) * SYMBOLS + c) << 3) + span.astype(np.int32), 0)
     packed.sort(axis=1)
-    code, weight = packed >> 3, np.where(packed > 0, DECAY ** (packed & 7), 0.0).astype(np.float32)
-    own = (weight * weight).sum(1)
-    for d in range(1, code.shape[1]):
-        equal = (code[:, d:] == code[:, :-d]) & (weight[:, :-d] > 0)
-        if not equal.any():
+    code, weight = packed >> 3, POWERS[packed & 7]
+    own = np.einsum("rt,rt->r", weight, weight)
+    rows, codes, weights = np.arange(len(code)), code, weight
+    for d in range(1, code.shape[1]):  # a subsequence that a unit has several times
+        equal = (codes[:, d:] == codes[:, :-d]) & (weights[:, :-d] > 0)
+        here = np.flatnonzero(equal.any(1))
+        if not len(here):
             break
-        own += 2 * np.where(equal, weight[:, d:] * weight[:, :-d], 0).sum(1)
+        rows, codes, weights, equal = rows[here], codes[here], weights[here], equal[here]
+        own[rows] += 2 * np.einsum("rt,rt,rt->r", weights[:, d:], weights[:, :-d], equal)
     return code, weight, np.sqrt(own)
 
 
@@ -117,7 +124,7 @@ class Machine:
         out = np.full(len(units), NOTHING)
         for unit, letters in windows(units):
             code, weight, norm = subsequences(letters)
-            told = (self.weights[code] * weight).sum(1) / np.maximum(norm, 1e-9) + self.bias
+            told = np.einsum("rt,rt->r", self.weights[code], weight) / np.maximum(norm, 1e-9) + self.bias
             np.maximum.at(out, unit, np.where(norm > 0, told, NOTHING))
         return out
 
@@ -205,9 +212,10 @@ class Batch:
 
     def __init__(self, texts: list[str]):
         lists = [units_of(x) for x in texts]
-        known: dict[str, int] = {}
-        self.ids = np.fromiter((known.setdefault(u, len(known)) for x in lists for u in x), np.int64)
-        self.units = list(known)
+        every = list(chain.from_iterable(lists))
+        self.units = list(dict.fromkeys(every))
+        known = dict(zip(self.units, range(len(self.units)), strict=True))
+        self.ids = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
         self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         doc = np.repeat(np.arange(len(lists)), self.sizes)
         fresh = np.ones(len(doc), bool)
