@@ -5,14 +5,17 @@ To add one, subclass ``Detector`` and register it; ``predict`` does the rest.
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evwatch.config import DAY
 from evwatch.functions.scalars import clean_observation
-from evwatch.functions.timecal import sealed_guard
-from evwatch.operators import contract
+from evwatch.functions.timecal import sealed_guard, trading_hours
+from evwatch.operators import contract, folds, ranks
+from evwatch.tables import stored
+
+#: Seconds of a key's time that one task folds.
+SLICE = 30 * DAY
 
 REGISTRY: dict[str, type[Detector]] = {}
 
@@ -82,58 +85,46 @@ class VolumeZ(Detector):
         return F.col("volume_z")
 
 
-def cusum(values: DataFrame, k: float, h: float, by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z", tie: str | None = None) -> DataFrame:
+def cusum(values: DataFrame, k: float, h: float, by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z", tie: str | None = None, slice_s: int | None = SLICE) -> DataFrame:
     """S = max(0, S + x - k) along each key; S is told before it falls back to 0 at h, a null or
     infinite x tells null and keeps S."""
     if h < k:
         raise ValueError("h must not be below k")
-    return cusum_grid(values, [(k, h)], by, ts, x, tie).drop("k", "h")
+    return cusum_grid(values, [(k, h)], by, ts, x, tie, slice_s).drop("k", "h")
 
 
-def cusum_grid(values: DataFrame, grid: list[tuple[float, float]], by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z", tie: str | None = None) -> DataFrame:
-    """``k, h`` and the CUSUM of ``cusum`` for each legal pair of the grid (h not below k). What falls
-    back can't be a window sum: a key's rows are ordered once and folded once for each pair."""
+def cusum_grid(values: DataFrame, grid: list[tuple[float, float]], by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z", tie: str | None = None, slice_s: int | None = SLICE) -> DataFrame:
+    """``k, h`` and the CUSUM of ``cusum`` for each legal pair of the grid (h not below k). A key's rows are
+    folded in slices of ``slice_s`` seconds, which are different tasks'; see ``folds``."""
     legal = [(float(k), float(h)) for k, h in grid if h >= k]
     if not legal:
         raise ValueError("no pair with h at or over k")
-    usable = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x).cast("double"))
-    order = [("ts", "ascending"), *([("tie", "ascending")] if tie else []), ("x", "ascending")]
-    rows = values.select(F.col(by).alias("key"), F.col(ts).alias("ts"), *([F.col(tie).alias("tie")] if tie else []), usable.alias("x"))
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, order, null_placement="at_start"))
-        xs, told = table.column("x").to_pylist(), []
-        for k, h in legal:
-            s, out = 0.0, []
-            for v in xs:
-                if v is None:
-                    out.append(None)
-                    continue
-                s = max(0.0, s + v - k)
-                out.append(s)
-                if s >= h:
-                    s = 0.0
-            pair = [pa.repeat(pa.scalar(v, pa.float64()), len(xs)) for v in (k, h)]
-            told.append(pa.table([*pair, table.column("key"), table.column("ts"), pa.array(out, pa.float64())], ["k", "h", "key", "ts", "cusum"]))
-        return pa.concat_tables(told)
-
-    kinds = dict(rows.dtypes)
-    out = rows.groupBy("key").applyInArrow(fold, f"k double, h double, key {kinds['key']}, ts {kinds['ts']}, cusum double")
+    out = folds.cusum_rows(values, legal, by, ts, x, tie, slice_s)
     return out.select("k", "h", F.col("key").alias(by), F.col("ts").alias(ts), "cusum")
 
 
-def tune_cusum(frame: DataFrame, grid: list[tuple[float, float]], budget: int) -> DataFrame:
-    """Precision at ``budget`` alerts (ties admitted) for each legal pair, the best first: by
-    precision, then smaller k, then smaller h. ``frame``: window_id, ticker, ts_utc, t0_utc, volume_z."""
+def tune_cusum(frame: DataFrame, grid: list[tuple[float, float]], budget: int, days: DataFrame) -> DataFrame:
+    """For each legal pair: the threshold that ``budget`` alerts give (ties admitted), their precision, and
+    the middle lead in trading hours of positive windows at their first crossing. The best first: by
+    precision, then the longer lead (none last), then smaller k, then smaller h. ``frame``: window_id, ticker,
+    ts_utc, t0_utc, volume_z.
+
+    Thresholds and medians of all pairs come from one range partitioning each; no task holds a pair.
+    """
     told = cusum_grid(frame.select("ticker", "ts_utc", "volume_z").distinct(), grid)
-    rows = frame.select("window_id", "ticker", "ts_utc", "t0_utc").join(told, ["ticker", "ts_utc"])
+    rows = stored(frame.select("window_id", "ticker", "ts_utc", "t0_utc").join(told, ["ticker", "ts_utc"]))
     positive = F.max(F.col("t0_utc").isNotNull())
     peaks = rows.groupBy("k", "h", "window_id").agg(positive.alias("positive"), F.when(positive, F.max_by("cusum", "ts_utc")).otherwise(F.max("cusum")).alias("peak")).where("peak IS NOT NULL")
-    ranked = peaks.withColumn("r", F.row_number().over(Window.partitionBy("k", "h").orderBy(F.col("peak").desc()))).where(F.col("r") <= budget)
-    cut = ranked.groupBy("k", "h").agg(F.min("peak").alias("threshold"))
+    peaks = stored(peaks)
+    cut = ranks.cumulated(peaks, "peak", ["k", "h"], descending=True).groupBy("k", "h").agg(F.min(F.when(F.col("upto") - F.col("n") < budget, F.col("peak"))).alias("threshold"))
+    cut = stored(cut)  # a row for each pair
     alerts = peaks.join(cut, ["k", "h"]).where(F.col("peak") >= F.col("threshold"))
     out = alerts.groupBy("k", "h").agg(F.first("threshold").alias("threshold"), F.count("*").alias("alerts"), F.avg(F.col("positive").cast("double")).alias("precision"))
-    return out.orderBy(F.col("precision").desc(), "k", "h")
+    crossed = rows.where("t0_utc IS NOT NULL").join(cut, ["k", "h"]).where(F.col("cusum") >= F.col("threshold"))
+    first = crossed.groupBy("k", "h", "window_id").agg(F.min("ts_utc").alias("ts_utc"), F.max("t0_utc").alias("t0_utc"))
+    leads = trading_hours(first, days, "ts_utc", "t0_utc", "lead_trading_h")
+    out = out.join(ranks.interpolated(leads, "lead_trading_h", {"median_lead_h": 0.5}, ["k", "h"]), ["k", "h"], "left")
+    return out.orderBy(F.col("precision").desc(), F.col("median_lead_h").desc_nulls_last(), "k", "h")
 
 
 def cusum_no_reset(values: DataFrame, k: float, by: str = "ticker", ts: str = "ts_utc", x: str = "volume_z") -> DataFrame:

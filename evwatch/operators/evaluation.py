@@ -12,6 +12,8 @@ from evwatch.operators import metrics, sampling
 from evwatch.operators.contract import validated
 from evwatch.operators.detectors import Detector
 from evwatch.operators.joins import bars_before
+from evwatch.operators.ranks import interpolated
+from evwatch.tables import stored
 
 
 def evaluate(df: DataFrame, days: DataFrame, rate: float, excluded: tuple[str, ...], most: int | None = None) -> DataFrame:
@@ -19,12 +21,13 @@ def evaluate(df: DataFrame, days: DataFrame, rate: float, excluded: tuple[str, .
     ``metrics.report``, flagged positive windows and their middle lead, whether alerts spill over the
     budget by ties, and of the whole frame the actions, the Brier score where scores are
     probabilities, and whether it is degenerate: no flag, or one score only."""
-    summary = metrics.window_summary(df)
-    budget = metrics.alert_budget(df, rate, most)
-    table = metrics.report(df, metrics.threshold_at(summary, budget), excluded)
+    df = stored(df)
+    budget, threshold = metrics.budgeted(df, rate, most)
+    table = metrics.report(df, threshold, excluded)
     leads = metrics.delays(df, days).select("window_id", "lead_trading_h")
-    by_slice = metrics.sliced(summary, excluded).select("window_id", "slice").join(leads, "window_id", "left").groupBy("slice")
-    delays = by_slice.agg(F.count("lead_trading_h").alias("detections"), F.percentile("lead_trading_h", 0.5).alias("lead_p50"))
+    led = metrics.sliced(metrics.window_summary(df), excluded).select("window_id", "slice").join(leads, "window_id", "left")
+    delays = led.groupBy("slice").agg(F.count("lead_trading_h").alias("detections"))
+    delays = delays.join(interpolated(led, "lead_trading_h", {"lead_p50": 0.5}, ["slice"]), "slice", "left")
     y, p = F.col("t0_utc").isNotNull().cast("double"), F.col("score")
     whole = df.agg(
         F.count_if(F.col("action") == "WAIT").alias("wait_hours"), F.count_if(F.col("action") == "FLAG").alias("flag_hours"),
@@ -34,8 +37,10 @@ def evaluate(df: DataFrame, days: DataFrame, rate: float, excluded: tuple[str, .
         "wait_hours", "flag_hours", F.when((F.col("__least") >= 0) & (F.col("__most") <= 1), F.col("__brier")).alias("brier"),
         ((F.col("flag_hours") == 0) | (F.col("__least") == F.col("__most"))).alias("degenerate"),
     )
-    spill = F.when(F.lit(budget) > 0, F.col("alerts") / F.lit(budget)).alias("tie_spill")
-    return table.join(delays, "slice").join(F.broadcast(whole)).select("*", F.lit(budget).cast("long").alias("budget"), spill)  # one row
+    whole = stored(whole)  # one row
+    told = [whole.select(c).scalar().alias(c) for c in whole.columns]
+    spill = F.when(budget > 0, F.col("alerts") / budget).alias("tie_spill")
+    return table.join(delays, "slice").select("*", *told, budget.alias("budget"), spill)
 
 
 def report_table(variants: dict[str, DataFrame], days: DataFrame, rate: float, excluded: tuple[str, ...]) -> DataFrame:

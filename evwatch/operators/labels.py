@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evwatch.operators.joins import asof, within
+from evwatch.operators.ranks import at_ranks, nearest_rank  # noqa: F401  the operators take them from here
 
 
 def correct_t0(filings: DataFrame, news: DataFrame, lookback_s: int, max_tier: int | None, crawl_time: bool = False) -> DataFrame:
@@ -39,31 +38,6 @@ def headline(matches: DataFrame, news: DataFrame) -> DataFrame:
     return pairs.groupBy("accession_no").agg(F.min_by("title", order).alias("title"), F.min_by("url", order).alias("url"))
 
 
-def nearest_rank(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """One row: ``sorted[min(int(n * p), n - 1)]`` for each share, null without values."""
-    return at_ranks(values, column, {f"p{round(p * 100)}": lambda n, p=p: F.least(F.floor(n * F.lit(p)), n - 1) for p in shares})
-
-
-def at_ranks(values: DataFrame, column: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """One row of the values at some places, from 0, of the values in order; each place follows from
-    how many there are. A place below 0 or past the end has none.
-
-    Counts by value are dealt by ranges of it. Each range's total, of which there are as many as
-    tasks, says where its ranks start, so that no task holds all values.
-    """
-    ordered = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    ordered = ordered.repartitionByRange(column).withColumn("__part", F.spark_partition_id())
-    parts = ordered.groupBy("__part").agg(F.sum("__n").alias("__size"), F.min(column).alias("__low"))
-    before = Window.orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("__low", F.lead("__low").over(Window.orderBy("__low")).alias("__next"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(0))).alias("__all"))
-    inside = (F.col(column) >= F.col("__low")) & (F.col("__next").isNull() | (F.col(column) < F.col("__next")))
-    placed = ordered.drop("__part").join(F.broadcast(parts), inside)  # a row for each task
-    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy("__low").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.withColumn("__upto", upto)
-    picks = {name: rank(F.col("__all")) for name, rank in ranks.items()}
-    return ranked.agg(*(F.min(F.when((r >= 0) & (F.col("__upto") > r), F.col(column))).alias(name) for name, r in picks.items()))
-
-
 def event_move(events: DataFrame, bars: DataFrame, benchmark: DataFrame, hours: int, bar_s: int = 3600) -> DataFrame:
     """``events`` (ticker, t0_utc) with the move from the last price before ``t0_utc`` to the first
     close ``hours`` after it, less the benchmark's where that has both prices, and a reason if

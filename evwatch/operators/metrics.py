@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evwatch.functions.scalars import kept_items, parse_items
+from evwatch.operators.ranks import cumulated, interpolated
+from evwatch.tables import stored
 
 
 def window_summary(df: DataFrame) -> DataFrame:
@@ -18,24 +20,38 @@ def window_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def ticker_months(df: DataFrame) -> int:
+def ticker_months(df: DataFrame) -> DataFrame:
+    """One row, ``n``: the months in which a ticker has rows, over all tickers."""
     month = F.date_trunc("month", F.timestamp_seconds("ts_utc"))
-    return df.select("ticker", month.alias("m")).distinct().count()
+    return df.select("ticker", month.alias("m")).distinct().agg(F.count("*").alias("n"))
 
 
-def alert_budget(df: DataFrame, rate: float, most: int | None = None) -> int:
-    """Half-up rounding of the rate by ticker and month."""
-    return max(0, most if most is not None else int(ticker_months(df) * rate + 0.5))
+def alert_budget(df: DataFrame, rate: float, most: int | None = None) -> DataFrame:
+    """One row, ``budget``: half-up rounding of the rate by ticker and month, or ``most``."""
+    if most is not None:
+        return df.sparkSession.range(1).select(F.lit(max(0, most)).cast("long").alias("budget"))
+    return ticker_months(df).select(F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(rate) + 0.5)).cast("long").alias("budget"))
+
+
+def thresholds(summary: DataFrame, budget: Column) -> DataFrame:
+    """One row, ``threshold``: the peak of the ``budget``-th window, or the least if there are no more; all
+    ties at it will be alerts."""
+    placed = cumulated(summary, "peak", descending=True)
+    within = F.min(F.when(F.col("upto") - F.col("n") < budget, F.col("peak").cast("double")))
+    few = F.coalesce(F.max("total"), F.lit(0)) <= budget
+    return placed.agg(F.when(budget <= 0, float("inf")).when(few, float("-inf")).otherwise(within).alias("threshold"))
 
 
 def threshold_at(summary: DataFrame, budget: int) -> float:
-    """The peak of the ``budget``-th window; all ties at it will be alerts."""
-    from evwatch.operators.labels import at_ranks
+    """``thresholds`` as a number on the driver."""
+    return thresholds(summary, F.lit(budget)).first()[0]
 
-    if budget <= 0:
-        return float("inf")
-    found = at_ranks(summary, "peak", {"threshold": lambda n: F.when(n > budget, n - budget)}).first()[0]
-    return float("-inf") if found is None else found
+
+def budgeted(df: DataFrame, rate: float, most: int | None = None) -> tuple[Column, Column]:
+    """Budget and threshold of a frame as scalar subqueries: nothing is read on the driver, and no join
+    is needed to bring them to the rows."""
+    budget = stored(alert_budget(df, rate, most))
+    return budget.scalar(), stored(thresholds(window_summary(df), budget.scalar())).scalar()
 
 
 def sliced(summary: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
@@ -47,7 +63,7 @@ def sliced(summary: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
     return summary.where("is_positive").withColumn("slice", F.explode(names))
 
 
-def report(df: DataFrame, threshold: float, excluded: tuple[str, ...]) -> DataFrame:
+def report(df: DataFrame, threshold: float | Column, excluded: tuple[str, ...]) -> DataFrame:
     """Precision, recall, ceiling and base rate by slice at one threshold."""
     summary = window_summary(df)
     alert = (F.col("peak") >= threshold).cast("int")
@@ -84,12 +100,12 @@ def delays(df: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def delay_summary(df: DataFrame, days: DataFrame) -> DataFrame:
-    found = delays(df, days).agg(
-        F.count("*").alias("detections"), F.percentile("lead_trading_h", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"),
-        F.min("lead_trading_h").alias("least"), F.max("lead_trading_h").alias("most"),
-    )
-    positives = df.where("t0_utc IS NOT NULL").agg(F.count_distinct("window_id").alias("positives"))
-    return found.join(positives).select("detections", "positives", (F.col("positives") - F.col("detections")).alias("missed"), F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"), "least", "most")
+    found = stored(delays(df, days).select("lead_trading_h"))
+    ends = found.agg(F.count("*").alias("detections"), F.min("lead_trading_h").alias("least"), F.max("lead_trading_h").alias("most"))
+    quarters = interpolated(found, "lead_trading_h", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    positives = df.where("t0_utc IS NOT NULL").agg(F.count_distinct("window_id").alias("positives")).scalar()
+    part = {c: quarters.select(c).scalar().alias(c) for c in ("p25", "p50", "p75")}
+    return ends.select("detections", positives.alias("positives"), (positives - F.col("detections")).alias("missed"), *part.values(), "least", "most")
 
 
 def checked_probability(score):

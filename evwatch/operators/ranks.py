@@ -34,7 +34,8 @@ def cumulated(values: DataFrame, column: str, by: Sequence[str] = (), weight: Co
     ``weight``), ``upto`` have it or one before it in the order, and the group has ``total``.
 
     Nulls of ``column`` are left out; equal values are counted before anything is ordered, so a value
-    that very many rows share is one row here. There may be many groups or one.
+    that very many rows share is one row here. There may be many groups or one. ``column`` may not be
+    named as a column told.
     """
     counted = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     order = F.col(column).desc() if descending else F.col(column).asc()
@@ -55,12 +56,29 @@ def at_ranks(values: DataFrame, column: str, ranks: dict[str, Callable[[Column],
     """Of each group ``by``, or of all rows, the values at some places, from 0, of the values in
     order; each place follows from how many there are. A place below 0 or past the end has none.
     Without groups there is one row, of nulls if there are no values."""
-    placed = cumulated(values, column, by, descending=descending)
+    placed = cumulated(values.select(*by, F.col(column).alias("__value")), "__value", by, descending=descending)
     picks = {name: rank(F.col("total")) for name, rank in ranks.items()}
     first = F.max if descending else F.min
-    return placed.groupBy(*by).agg(*(first(F.when((r >= 0) & (F.col("upto") > r), F.col(column))).alias(name) for name, r in picks.items()))
+    return placed.groupBy(*by).agg(*(first(F.when((r >= 0) & (F.col("upto") > r), F.col("__value"))).alias(name) for name, r in picks.items()))
 
 
 def nearest_rank(values: DataFrame, column: str, shares: list[float], by: Sequence[str] = ()) -> DataFrame:
     """``sorted[min(int(n * p), n - 1)]`` for each share."""
     return at_ranks(values, column, {f"p{round(p * 100)}": lambda n, p=p: F.least(F.floor(n * F.lit(p)), n - 1) for p in shares}, by)
+
+
+def interpolated(values: DataFrame, column: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Percentiles by linear interpolation between the two nearest values, as ``percentile`` has them."""
+    placed = cumulated(values.select(*by, F.col(column).cast("double").alias("__value")), "__value", by)
+    last = F.col("total") - 1
+    picks = []
+    for name, p in shares.items():
+        for side, r in (("low", F.floor(last * F.lit(p))), ("high", F.ceil(last * F.lit(p)))):
+            picks.append(F.min(F.when(F.col("upto") > r, F.col("__value"))).alias(f"__{side}_{name}"))
+    found = placed.groupBy(*by).agg(F.max(last).alias("__last"), *picks)
+    out = []
+    for name, p in shares.items():
+        place = F.col("__last") * F.lit(p)
+        low, high = F.col(f"__low_{name}"), F.col(f"__high_{name}")
+        out.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return found.select(*by, *out)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from evwatch.config import DAY
 from evwatch.functions.scalars import kept_items, parse_items
 from evwatch.functions.timecal import split_of
-from evwatch.operators import labels
+from evwatch.operators import labels, ranks
+from evwatch.tables import stored
 
 MONTH = 365.25 / 12 * DAY
 
@@ -73,14 +74,14 @@ def gap_shares(gaps: DataFrame, column: str, lookback_s: int, parts: tuple[float
 def moves(measured: DataFrame) -> DataFrame:
     """One row: events usable, immaterial and without a price, and the middle, the 90 % rank and the
     largest of the moves' sizes."""
-    size = measured.select(F.abs("move").alias("size"))
-    ranks = labels.nearest_rank(size, "size", [0.5, 0.9])
+    measured = stored(measured.select("move", "usable", "exclude_reason"))
+    ranked = stored(ranks.nearest_rank(measured.select(F.abs("move").alias("size")), "size", [0.5, 0.9]))  # one row
     reason = F.col("exclude_reason")
     counts = measured.agg(
         F.count("*").alias("events"), F.count_if(F.col("usable") == 1).alias("usable"), F.count_if(reason == "immaterial").alias("immaterial"),
         F.count_if(reason.startswith("no_")).alias("no_price"), F.max(F.abs("move")).alias("largest"),
     )
-    return counts.join(F.broadcast(ranks))  # one row
+    return counts.select("*", *(ranked.select(c).scalar().alias(c) for c in ranked.columns))
 
 
 def splits(events: DataFrame, bars: DataFrame, low: int, high: int, shares: tuple[float, float, float]) -> DataFrame:

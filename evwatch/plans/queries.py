@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from evwatch.config import DAY, SMALL
 from evwatch.functions import scalars, timecal
-from evwatch.operators import alertlog, contract, detectors, features, joins, labels, merge, metrics, sampling, text, universe
+from evwatch.operators import alertlog, contract, detectors, features, joins, labels, merge, metrics, ranks, sampling, text, universe
 from evwatch.plans import frames
 from evwatch.plans.views_sql import HIGH, LOW, with_views
 from evwatch.sources import adapters, ingest, sinks
+from evwatch.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -259,7 +260,7 @@ r AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n F
 SELECT max(CASE WHEN i = least(floor(n * 0.1)::BIGINT, n - 1) THEN g END) AS p10, max(CASE WHEN i = least(floor(n * 0.5)::BIGINT, n - 1) THEN g END) AS p50, max(CASE WHEN i = least(floor(n * 0.9)::BIGINT, n - 1) THEN g END) AS p90 FROM r""")
 def gap_percentiles(spark, sf_dir):
     matched = labels.correct_t0(adapters.filings(spark, sf_dir), adapters.news(spark, sf_dir), SMALL.t0_lookback_s, SMALL.news_tier)
-    return labels.nearest_rank(matched.select((F.col("acceptance_utc") - F.col("t0_news_utc")).alias("gap")), "gap", [0.1, 0.5, 0.9])
+    return ranks.nearest_rank(matched.select((F.col("acceptance_utc") - F.col("t0_news_utc")).alias("gap")), "gap", [0.1, 0.5, 0.9])
 
 
 @query("""WITH p AS (SELECT event_id, l.ticker, t0_utc,
@@ -347,8 +348,9 @@ def item_counts(spark, sf_dir):
 @query("SELECT count(*) AS companies, min(n) AS least, (list(n ORDER BY n))[len(list(n)) // 2 + 1] AS median, max(n) AS most, round(avg(n), 1) AS mean FROM (SELECT cik, count(*) AS n FROM filings GROUP BY 1)")
 def filings_per_company(spark, sf_dir):
     by = adapters.filings(spark, sf_dir).groupBy("cik").agg(F.count("*").alias("n"))
-    middle = labels.nearest_rank(by, "n", [0.5]).select(F.col("p50").alias("median"))
-    return by.agg(F.count("*").alias("companies"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 1).alias("mean")).join(F.broadcast(middle)).select("companies", "least", "median", "most", "mean")
+    by = stored(by)
+    middle = ranks.nearest_rank(by, "n", [0.5]).scalar()
+    return by.agg(F.count("*").alias("companies"), F.min("n").alias("least"), middle.alias("median"), F.max("n").alias("most"), F.round(F.avg("n"), 1).alias("mean"))
 
 
 @query(f"SELECT cik, count(*) AS n FROM filings GROUP BY 1 HAVING min(acceptance_utc) > {LOW}")
@@ -481,8 +483,8 @@ p AS (SELECT alert, unnest(list_distinct(['all', CASE WHEN is_scheduled THEN 'sc
   round(count(*) FILTER (alert) / (count(*) FILTER (alert) + any_value(fp)), 6) AS precision, round(least(count(*), count(*) FILTER (alert) + any_value(fp)) / (count(*) FILTER (alert) + any_value(fp)), 6) AS ceiling,
   round(count(*) FILTER (alert) / count(*), 6) AS recall, round(count(*) / (count(*) + any_value(n_quiet)), 6) AS base_rate FROM p CROSS JOIN quiet GROUP BY slice""")
 def budget_report(spark, sf_dir):
-    rows = frames.predictions(spark, sf_dir).cache()  # read for the budget, the threshold and the report
-    threshold = metrics.threshold_at(metrics.window_summary(rows), metrics.alert_budget(rows, SMALL.budget_per_month))
+    rows = stored(frames.predictions(spark, sf_dir))  # read for the budget, the threshold and the report
+    _, threshold = metrics.budgeted(rows, SMALL.budget_per_month)
     return rounded(metrics.report(rows, threshold, SMALL.excluded_items), "precision", "ceiling", "recall", "base_rate")
 
 
@@ -557,18 +559,30 @@ def trees_scores(spark, sf_dir):
     return model.predict(rows.where(F.col("ts_utc") >= cut)).select("window_id", "ts_utc", "score", "action")
 
 
-@query()
+@query("""WITH RECURSIVE pair AS (SELECT k::DOUBLE AS k, h::DOUBLE AS h FROM (VALUES (0.25), (0.5), (1.0)) a(k), (VALUES (0.5), (1.0), (2.0), (4.0)) b(h) WHERE h >= k),
+n AS (SELECT ticker, ts_utc, x, row_number() OVER (PARTITION BY ticker ORDER BY ts_utc) AS i FROM (SELECT DISTINCT ticker, ts_utc, round(volume_z, 6) AS x FROM frame)),
+w AS (SELECT k, h, ticker, ts_utc, i, CASE WHEN x IS NULL THEN 0.0 ELSE greatest(0.0, x - k) END::DOUBLE AS s, x FROM n, pair WHERE i = 1
+  UNION ALL SELECT k, h, n.ticker, n.ts_utc, n.i, CASE WHEN n.x IS NULL THEN CASE WHEN w.x IS NOT NULL AND w.s >= h THEN 0.0 ELSE w.s END ELSE greatest(0.0, CASE WHEN w.x IS NOT NULL AND w.s >= h THEN 0.0 ELSE w.s END + n.x - k) END, n.x FROM w JOIN n ON n.ticker = w.ticker AND n.i = w.i + 1),
+r AS (SELECT k, h, window_id, f.ts_utc, t0_utc, CASE WHEN x IS NOT NULL THEN s END AS s FROM frame f JOIN w ON w.ticker = f.ticker AND w.ts_utc = f.ts_utc),
+peak AS (SELECT * FROM (SELECT k, h, window_id, bool_or(t0_utc IS NOT NULL) AS positive, CASE WHEN bool_or(t0_utc IS NOT NULL) THEN (list(s ORDER BY ts_utc DESC))[1] ELSE max(s) END AS peak FROM r GROUP BY 1, 2, 3) WHERE peak IS NOT NULL),
+cut AS (SELECT k, h, min(peak) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY k, h ORDER BY peak DESC) AS no FROM peak) WHERE no <= 200 GROUP BY 1, 2),
+flag AS (SELECT r.k, r.h, window_id, min(ts_utc) AS ts_utc, max(t0_utc) AS t0_utc FROM r JOIN cut ON cut.k = r.k AND cut.h = r.h AND s >= threshold WHERE t0_utc IS NOT NULL GROUP BY 1, 2, 3),
+lead AS (SELECT k, h, window_id, sum(greatest(0, least(t0_utc, close_utc) - greatest(ts_utc, open_utc))) / 3600.0 AS lead FROM flag, sessions GROUP BY 1, 2, 3),
+middle AS (SELECT k, h, quantile_cont(lead, 0.5) AS lead FROM lead GROUP BY 1, 2)
+SELECT cut.k, cut.h, round(threshold, 6) AS threshold, count(*) AS alerts, round(avg(positive::INT), 6) AS precision, round(any_value(lead), 6) AS median_lead_h
+FROM peak JOIN cut ON cut.k = peak.k AND cut.h = peak.h AND peak >= threshold LEFT JOIN middle ON middle.k = cut.k AND middle.h = cut.h GROUP BY 1, 2, 3""")
 def cusum_tuning(spark, sf_dir):
-    """Twelve pairs; a fold for each, which is held against the single fold in a test."""
-    rows = frames.frame(spark, sf_dir)
-    return detectors.tune_cusum(rows, [(k, h) for k in (0.25, 0.5, 1.0) for h in (0.5, 1.0, 2.0, 4.0)], 200)
+    """Eleven pairs of which each is folded, ranked and cut on its own."""
+    rows = rounded(frames.frame(spark, sf_dir), "volume_z")
+    out = detectors.tune_cusum(rows, [(k, h) for k in (0.25, 0.5, 1.0) for h in (0.5, 1.0, 2.0, 4.0)], 200, frames.clock(spark))
+    return rounded(out, "threshold", "precision", "median_lead_h")
 
 
 @query(BUDGET + """ SELECT slice, round((count(*) FILTER (alert) / (count(*) FILTER (alert) + any_value(fp))) / (count(*) / (count(*) + any_value(n_quiet))), 6) AS lift FROM p CROSS JOIN quiet GROUP BY slice""")
 def lift_over_constant(spark, sf_dir):
     """A constant detector's tie admits every window, so its precision is the base rate."""
-    rows = frames.predictions(spark, sf_dir).cache()  # read for the budget, the threshold and the report
-    threshold = metrics.threshold_at(metrics.window_summary(rows), metrics.alert_budget(rows, SMALL.budget_per_month))
+    rows = stored(frames.predictions(spark, sf_dir))  # read for the budget, the threshold and the report
+    _, threshold = metrics.budgeted(rows, SMALL.budget_per_month)
     floor = metrics.report(frames.predictions(spark, sf_dir, detectors.Constant()), 0.0, SMALL.excluded_items)
     return rounded(metrics.with_lift(metrics.report(rows, threshold, SMALL.excluded_items), floor).select("slice", "lift"), "lift")
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from evwatch.config import SMALL
 from evwatch.functions import scalars, timecal
-from evwatch.operators import alertlog, contract, detectors, features, joins, labels, merge, metrics, sampling
+from evwatch.operators import alertlog, contract, detectors, features, joins, labels, merge, metrics, ranks, sampling
 from evwatch.plans import frames
 from evwatch.schemas import TABLES
 from evwatch.sources import adapters, ingest, sinks
@@ -49,6 +49,47 @@ def test_cusum_grid_equals_single_folds(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("slice_s", [1, 3, 7, 50, None])
+@pytest.mark.parametrize("scale", [0.5, 2.0, 20.0])
+def test_cusum_in_slices_equals_the_fold(spark, slice_s, scale):
+    """Values are halves, so that all sums are exact and equal to the last bit."""
+    rng = random.Random(int(scale * 10))
+    rows = [(t, i, rng.choice([None, float("nan"), *[round(rng.gauss(0.2, scale) * 2) / 2] * 8])) for t in ("a", "b", None) for i in range(rng.choice([1, 40, 90]))]
+    rows += [("hot", i, round(rng.gauss(0.6, scale) * 2) / 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "ticker string, ts_utc long, volume_z double")
+    pairs = [(0.5, 1.0), (0.5, 3.0), (0.0, 0.0), (1.0, 60.0)]
+    got = {(r.k, r.h, r.ticker, r.ts_utc): r.cusum for r in detectors.cusum_grid(df, pairs, slice_s=slice_s).collect()}
+    want = {}
+    for k, h in pairs:
+        s = {}
+        for t, i, x in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+            if x is None or x != x:
+                want[k, h, t, i] = None
+                continue
+            s[t] = max(0.0, s.get(t, 0.0) + x - k)
+            want[k, h, t, i] = s[t]
+            s[t] = 0.0 if s[t] >= h else s[t]
+    assert got == want
+
+
+def test_ranks_in_groups(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(12))) for _ in range(300)] + [("c", None), ("d", 5.0)] + [("hot", 1.0)] * 400
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.p10, r.p50, r.p99) for r in ranks.nearest_rank(df, "x", [0.1, 0.5, 0.99], ["g"]).collect()}
+    middle = {r.g: r.m for r in ranks.interpolated(df, "x", {"m": 0.4}, ["g"]).collect()}
+    of = {}
+    for g, x in rows:
+        if x is not None:
+            of.setdefault(g, []).append(x)
+    assert got == {g: tuple(sorted(v)[min(int(len(v) * p), len(v) - 1)] for p in (0.1, 0.5, 0.99)) for g, v in of.items()}
+    for g, v in of.items():
+        v, at = sorted(v), 0.4 * (len(v) - 1)
+        assert middle[g] == pytest.approx(v[int(at)] + (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]) * (at - int(at)))
+    placed = {(r.place, r.x) for r in ranks.numbered(df.where("g = 'a'").select("x"), ["x"]).collect()}
+    assert placed == set(enumerate(sorted(of["a"])))
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("slice_s", [None, 7])
