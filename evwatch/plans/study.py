@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evwatch.config import DAY, SMALL
 from evwatch.functions import scalars, timecal
-from evwatch.operators import alertlog, contract, detectors, evaluation, features, joins, labels, merge, metrics, monitor, reports, sampling, text, universe
+from evwatch.operators import alertlog, contract, detectors, evaluation, features, joins, labels, live, merge, metrics, monitor, reports, sampling, text, universe
 from evwatch.plans import frames
 from evwatch.plans.queries import BUDGET, NOISE_SQL, QUERIES, SQL, TILES, part_stems, posts, query, quiet_frame, rounded
 from evwatch.plans.views_sql import HIGH, LOW, VIEWS
 from evwatch.sources import adapters, ingest, scans
+from evwatch.tables import shared_dir
 
 # Results of other queries as views.
 VIEWS |= {
@@ -317,6 +320,32 @@ def monitor_cycle(spark, sf_dir):
     return shown.select("alert_id", "seq", "row_sha", "state")
 
 
+CYCLES = ((LOW + HIGH) // 2, HIGH)
+
+
+@query(f"""WITH RECURSIVE f1 AS (SELECT ticker, ts_utc, round(volume_z, 6) AS score FROM z WHERE ts_utc <= {CYCLES[0]} QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts_utc DESC) <= 24),
+f2 AS (SELECT ticker, ts_utc, round(volume_z, 6) AS score FROM z WHERE ts_utc <= {CYCLES[1]} QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts_utc DESC) <= 24),
+raised AS (SELECT 1 AS cycle, * FROM f1 WHERE score >= 1.5 UNION ALL SELECT 2, * FROM f2 WHERE score >= 1.5 AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.ticker = f2.ticker AND f1.ts_utc = f2.ts_utc)),
+n AS (SELECT *, sha256('volume_z|' || ticker || '|' || ts_utc)[1:24] AS alert_id, row_number() OVER (ORDER BY cycle, ts_utc, ticker) AS seq FROM raised),
+m AS (SELECT *, alert_id || '|' || ts_utc || '|' || ticker || '|volume_z|' || printf('%.6f', score) || '|1.500000' AS txt FROM n),
+c AS (SELECT alert_id, seq, ticker, ts_utc, sha256('|' || txt) AS row_sha FROM m WHERE seq = 1 UNION ALL SELECT m.alert_id, m.seq, m.ticker, m.ts_utc, sha256(c.row_sha || '|' || m.txt) FROM c JOIN m ON m.seq = c.seq + 1)
+SELECT alert_id, seq, row_sha, CASE WHEN ts_utc + 172800 > {CYCLES[1]} THEN 'open' WHEN EXISTS (SELECT 1 FROM filings f WHERE f.ticker = c.ticker AND acceptance_utc > c.ts_utc AND acceptance_utc <= c.ts_utc + 172800) THEN 'filed' ELSE 'none' END AS state FROM c""")
+def live_cycles(spark, sf_dir):
+    """Two cycles over a stored log; the second reads all bars and filings again, of which it keeps the new
+    ones, and once more as the same batch, which changes nothing."""
+    bars, filings = adapters.hourly_bars(spark, sf_dir), adapters.filings(spark, sf_dir)
+
+    def featurise(bars, _):
+        return rounded(bars.withColumn("volume_z", features.volume_z(SMALL.z_window, SMALL.z_min)), "volume_z")
+
+    ddl = [", ".join(f"{c} {kind}" for c, kind in df.dtypes) for df in (bars, filings)]
+    store = live.Store(spark, f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", *ddl)
+    run = live.Monitor(store, {"volume_z": detectors.VolumeZ(SMALL.z_threshold)}, frames.clock(spark), featurise, SMALL.outcome_h)
+    for batch, as_of in ((0, CYCLES[0]), (1, CYCLES[1]), (1, CYCLES[1])):
+        run.run(batch, bars, filings.where(F.col("acceptance_utc") <= as_of), as_of)
+    return run.shown(CYCLES[1]).select("alert_id", "seq", "row_sha", "state")
+
+
 @query(f"SELECT accession_no FROM filings WHERE acceptance_utc >= (SELECT max(acceptance_utc) FROM filings WHERE acceptance_utc < {HIGH} - 864000 AND acceptance_utc % 5 <> 0) - 259200 AND (acceptance_utc >= {HIGH} - 864000 OR acceptance_utc % 5 = 0)")
 def reread_filings(spark, sf_dir):
     """A fifth of the early filings came late; those of the overlap are found again."""
