@@ -12,7 +12,7 @@ from evwatch.operators import metrics, sampling
 from evwatch.operators.contract import validated
 from evwatch.operators.detectors import Detector
 from evwatch.operators.joins import bars_before
-from evwatch.operators.ranks import interpolated
+from evwatch.operators.ranks import interpolated, numbered
 from evwatch.tables import stored
 
 
@@ -85,6 +85,31 @@ def ablation(full: DataFrame, reduced: DataFrame, metric: str = "precision") ->
     return a.join(b, "slice").withColumn("ratio", F.when(F.col("full") != 0, F.col("reduced") / F.col("full"))).withColumn("difference", F.col("reduced") - F.col("full"))
 
 
+def training_anchors(events: DataFrame, quiet: DataFrame, low: int, until: int, ratio: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors of windows to train on: each event of [low, until), and of the quiet anchors there ``ratio``
+    for each event, drawn by seed. ``depth`` is 0 for an event and for a quiet one the least ratio at which
+    it is drawn, so frames of smaller ratios are parts of this one. And one row: how many quiet ones were
+    wanted and how many lacked; none is drawn twice to make up for it."""
+    inside = lambda df, ts: df.where((F.col(ts) >= low) & (F.col(ts) < until))
+    blank = {"t0_utc": F.lit(None).cast("long"), "is_scheduled": F.lit(None).cast("boolean"), "item_code": F.lit(None).cast("string")}
+    positives = inside(events, "t0_utc").select(F.concat(F.lit("event:"), "event_id").alias("window_id"), "ticker", F.col("t0_utc").alias("anchor_utc"), "t0_utc", "is_scheduled", F.col("items").alias("item_code"), F.lit(1).alias("label"), F.lit(0).cast("long").alias("depth"))
+    positives = stored(positives)
+    n = stored(positives.agg(F.count("*").alias("n"))).scalar()
+    key = F.md5(F.concat_ws("|", "ticker", "anchor_utc", F.lit(seed)))
+    pool = stored(inside(quiet, "anchor_utc").select("ticker", "anchor_utc"))
+    placed = numbered(pool.withColumn("__key", key), ["__key", "ticker", "anchor_utc"]).where(F.col("place") < n * ratio)
+    drawn = placed.select(F.concat_ws(":", F.lit("quiet"), "ticker", "anchor_utc").alias("window_id"), "ticker", "anchor_utc", *(c.alias(name) for name, c in blank.items()), F.lit(0).alias("label"), (F.floor(F.col("place") / n) + 1).cast("long").alias("depth"))
+    short = pool.agg(F.count("*").alias("available")).select((n * ratio).alias("wanted"), F.greatest(F.lit(0), n * ratio - F.col("available")).alias("lacking"))
+    return positives.unionByName(drawn), short
+
+
+def training_matrix(matrix: DataFrame, anchors: DataFrame, features: list[str], horizon: int) -> DataFrame:
+    """The ``horizon`` rows of ``matrix`` (ticker, ts_utc, features) before each anchor: the contract's columns but
+    score and action, ``label``, ``depth`` and the features."""
+    rows = bars_before(matrix.select("ticker", "ts_utc", *features), anchors, horizon)
+    return rows.select("window_id", "ticker", "ts_utc", "t0_utc", "is_scheduled", "item_code", "label", "depth", *features)
+
+
 def training_frame(bars: DataFrame, events: DataFrame, quiet: DataFrame, low: int, until: int, horizon: int, ratio: int, seed: int) -> tuple[DataFrame, int]:
     """Windows to train on: those before each event of [low, until), and of the quiet anchors there
     ``ratio`` for each event, drawn by seed; and how many quiet ones were lacking."""

@@ -119,6 +119,24 @@ def moving_average_normal(bars: DataFrame, flagged: DataFrame, column: str, days
     return out.select("ticker", "ts_utc", "value", F.col("p")[0].alias("p05"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p95"), "share_below", "n")
 
 
+def lookaheads(features, bars: DataFrame, cuts: list[int], columns: list[str]) -> DataFrame:
+    """``cut, feature, n``: at how many rows at or before a cut a feature changes when all bars later than the
+    cut do. All cuts are one plan: each has a copy of the bars whose tickers tell the cut, and
+    features are made of all copies at once."""
+    noise = 1000 + F.pmod(F.xxhash64("ticker", "ts_utc"), F.lit(97))
+    each = bars.withColumn("__cut", F.explode(F.array(F.lit(None).cast("long"), *(F.lit(c).cast("long") for c in cuts))))
+    moved = F.coalesce(F.col("ts_utc") > F.col("__cut"), F.lit(False))
+    each = each.withColumns({c: F.when(moved, F.col(c) * noise).otherwise(F.col(c)) for c in ("close", "volume")})
+    named = F.concat_ws("|", F.coalesce(F.col("__cut").cast("string"), F.lit("")), "ticker")
+    out = features(each.withColumn("ticker", named).drop("__cut")).select(F.split("ticker", r"\|", 2).alias("__name"), "ts_utc", *columns)
+    cut = F.expr("try_cast(__name[0] AS bigint)")
+    told = out.select(cut.alias("cut"), F.col("__name")[1].alias("ticker"), "ts_utc", F.struct(*columns).alias("told"))
+    plain = told.where("cut IS NULL").select("ticker", "ts_utc", F.col("told").alias("plain"))
+    met = told.where("ts_utc <= cut").join(plain, ["ticker", "ts_utc"])
+    differ = F.array_compact(F.array(*(F.when(~F.col(f"told.{c}").eqNullSafe(F.col(f"plain.{c}")), F.lit(c)) for c in columns)))
+    return met.select("cut", F.explode(differ).alias("feature")).groupBy("cut", "feature").agg(F.count("*").alias("n"))
+
+
 def lookahead(features, bars: DataFrame, cut: int, columns: list[str]) -> DataFrame:
     """Rows at or before ``cut`` whose features change when all later bars do: ``features`` looks
     ahead if there are any."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evwatch.functions.scalars import domain_of, name_stem, normal_items
@@ -61,6 +63,35 @@ def filing_rows(raw: DataFrame, forms: tuple[str, ...]) -> tuple[DataFrame, Data
     return out.where(good).drop("acceptance", "filing_date"), rows.where(at.isNull() | F.col("accession_no").isNull() | (F.col("accession_no") == ""))
 
 
+def counted_filings(raw: DataFrame, forms: tuple[str, ...]) -> tuple[DataFrame, Observation]:
+    """``filing_rows``' good rows, with ``report_date_utc`` where ``raw`` has a ``report_date``, and counts that are
+    told once they have been written: rows read, of other forms, without a key, without a time, kept. No
+    pass of its own is made for them."""
+    told = Observation(f"filings-{uuid.uuid4().hex}")
+    ours = F.coalesce(F.col("form").isin(*forms), F.lit(False))
+    keyed = F.coalesce(F.col("accession_no") != "", F.lit(False))
+    timed = F.coalesce(F.col("acceptance").rlike(ZONED), F.lit(False)) & F.try_to_timestamp("acceptance").isNotNull()
+    raw = raw.observe(
+        told, F.count("*").alias("read"), F.count_if(~ours).alias("other_form"), F.count_if(ours & ~keyed).alias("no_key"),
+        F.count_if(ours & keyed & ~timed).alias("no_time"), F.count_if(ours & keyed & timed).alias("kept"),
+    )
+    if "report_date" in raw.columns:
+        day = F.unix_timestamp(F.try_to_timestamp(F.nullif(F.trim("report_date"), F.lit("")), F.lit("yyyy-MM-dd")))
+        raw = raw.withColumn("report_date_utc", day).drop("report_date")
+    return filing_rows(raw, forms)[0], told
+
+
+def counted_bars(raw: DataFrame, interval: str) -> tuple[DataFrame, Observation, Observation]:
+    """``bar_rows`` with counts that are told once they have been written: rows read and rows without a
+    price; and rows kept, the rest being repeated times."""
+    before, after = Observation(f"bars-{uuid.uuid4().hex}"), Observation(f"kept-{uuid.uuid4().hex}")
+    priced = F.lit(True)
+    for c in ("open", "high", "low", "close"):
+        priced &= F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).isNotNull()
+    raw = raw.observe(before, F.count("*").alias("read"), F.count_if(~priced).alias("no_price"))
+    return bar_rows(raw, interval).observe(after, F.count("*").alias("kept")), before, after
+
+
 def bar_rows(raw: DataFrame, interval: str) -> DataFrame:
     """Bars with all prices; a missing volume is 0, the last row of a time stays. ``raw`` has ``pos``."""
     clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in ("open", "high", "low", "close", "volume")]
@@ -153,7 +184,11 @@ def reread(stored: DataFrame, landed: DataFrame, key: str, ts: str, overlap_s: i
 
 
 def new_posts(stored: DataFrame, landed: DataFrame, by: str, ts: str = "created_utc") -> DataFrame:
-    """Posts after the newest stored one of their group, known ids left out; a new group from its start."""
+    """Posts after the newest stored one of their group, known ids left out; a new group from its start. Of
+    rows that share an id the earliest stays, of those the first by all columns."""
     mark = stored.groupBy(by).agg(F.max(ts).alias("__mark"))
     fresh = landed.join(mark, by, "left").where(F.col("__mark").isNull() | (F.col(ts) > F.col("__mark"))).drop("__mark")
-    return fresh.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti").select(*landed.columns)
+    fresh = fresh.join(stored.select("id"), "id", "left_anti")
+    rest = [c for c in landed.columns if c not in ("id", ts)]
+    first = fresh.groupBy("id").agg(F.min(F.struct(ts, *rest)).alias("__row"))
+    return first.select("id", "__row.*").select(*landed.columns)
