@@ -41,6 +41,15 @@ def is_scheduled(items: Column, excluded: tuple[str, ...], scheduled: tuple[str,
     return F.when(item_reason(items, excluded).isNull(), among(kept_items(parse_items(items), excluded), scheduled))
 
 
+def disjoint(**sets: tuple[str, ...]) -> None:
+    """Raises if a code is in several of the sets: its class would depend on which is asked first."""
+    seen: dict[str, str] = {}
+    for name, codes in sets.items():
+        for code in codes:
+            if seen.setdefault(code, name) != name:
+                raise ValueError(f"{code} is in {seen[code]} and in {name}")
+
+
 def unknown_codes(codes: Column, known: tuple[str, ...]) -> Column:
     return kept_items(codes, known)
 

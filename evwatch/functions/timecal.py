@@ -140,6 +140,15 @@ def hours_to_close(df: DataFrame, days: DataFrame, ts: str, name: str) -> DataFr
     return out.withColumn(name, hours).drop("__c_clock", "__c_open", "__c_next_open", "__c_next_close")
 
 
+def split_bounds(name: str, start: int, end: int, shares: tuple[float, float, float]) -> tuple[int, int]:
+    """Where a split of [start, end) begins and ends."""
+    if abs(sum(shares) - 1) > 1e-9:
+        raise ValueError("shares must sum to 1")
+    cuts = [start, start + int((end - start) * shares[0]), start + int((end - start) * (shares[0] + shares[1])), end]
+    at = ("train", "val", "test").index(name)
+    return cuts[at], cuts[at + 1]
+
+
 def sealed_guard(df: DataFrame, ts: str, start: int, end: int, sealed: bool = True) -> DataFrame:
     """``df``; rows with start <= ts < end raise while the period is sealed."""
     inside = (F.col(ts) >= start) & (F.col(ts) < end)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evwatch.operators.joins import asof, within
+from evwatch.operators.joins import asof
 from evwatch.operators.ranks import at_ranks, nearest_rank  # noqa: F401  the operators take them from here
 
 
@@ -15,11 +15,12 @@ def correct_t0(filings: DataFrame, news: DataFrame, lookback_s: int, max_tier: i
     seen = F.coalesce("published_utc", "seen_utc") if crawl_time else F.col("published_utc")
     articles = news.where(F.col("source_tier") <= max_tier) if max_tier is not None else news
     articles = articles.select("ticker", seen.alias("at")).where("at IS NOT NULL")
-    rows = filings.select("accession_no", "ticker", "acceptance_utc")
-    pairs = within(rows, articles, "ticker", "acceptance_utc", "at", lookback_s, after=False)
-    first = pairs.groupBy("accession_no").agg(F.min("r_at").alias("t0_news_utc"))
+    # The earliest in the lookback is the first from its start on, if that isn't past the filing.
+    begun = filings.withColumn("__from", F.col("acceptance_utc") - lookback_s)
+    first = asof(begun, articles, "ticker", "__from", "at", {"t0_news_utc": F.col("at")}, "forward").drop("__from")
+    first = first.withColumn("t0_news_utc", F.when(F.col("t0_news_utc") <= F.col("acceptance_utc"), F.col("t0_news_utc")))
     known = news.select("ticker").distinct().withColumn("__known", F.lit(True))
-    out = filings.join(first, "accession_no", "left").join(known, "ticker", "left")
+    out = first.join(known, "ticker", "left")
     matched = F.col("t0_news_utc").isNotNull()
     reason = F.when(matched, F.lit(None)).when(F.col("__known"), "no_news_in_lookback").otherwise("no_news_for_ticker")
     return (

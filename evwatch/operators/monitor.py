@@ -21,12 +21,12 @@ def latest_bars(matrix: DataFrame, as_of: int, lookback: int) -> DataFrame:
 
 
 def scan(frame: DataFrame, detectors: dict[str, Detector], thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Alerts of every detector at its threshold, given or its own."""
+    """Alerts of every detector at its threshold, given or its own, by time, detector and ticker."""
     found = []
     for name, detector in detectors.items():
         at = (thresholds or {}).get(name, detector.threshold)
         found.append(alertlog.scan(detector.predict(frame, at), name, at))
-    return reduce(DataFrame.unionByName, found)
+    return alertlog.ordered(reduce(DataFrame.unionByName, found))
 
 
 def cycle(log: DataFrame | None, alerts: DataFrame, filings: DataFrame, days: DataFrame, span_h: int, edge: int) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evwatch.config import DAY
-from evwatch.functions.scalars import kept_items, parse_items
+from evwatch.functions.scalars import is_scheduled, item_reason, kept_items, parse_items, scope_reason
 from evwatch.functions.timecal import split_of
 from evwatch.operators import labels, ranks
 from evwatch.tables import stored
@@ -101,6 +101,26 @@ def decision_points(bars: DataFrame, universe: DataFrame, events: DataFrame, low
     return points.join(F.broadcast(positives)).select("points", "positives", base.alias("base_rate"), (1 - base).alias("quiet_rate"))
 
 
+def cascade(filings: DataFrame, members: DataFrame, exclusions: DataFrame, low: int, high: int, excluded: tuple[str, ...], scheduled: tuple[str, ...]) -> DataFrame:
+    """``filings`` with ``is_scheduled``, ``exclude_reason`` and ``kept``: out of scope first, then by items, and only then
+    by what prices cover, as what is no event isn't a matter of coverage. ``members``: ticker;
+    ``exclusions``: accession_no, reason."""
+    known = members.select("ticker").distinct().withColumn("__member", F.lit(True))
+    out = filings.join(known, "ticker", "left").join(exclusions.select("accession_no", F.col("reason").alias("__cover")), "accession_no", "left")
+    scope = scope_reason(F.col("acceptance_utc"), low, high, F.coalesce("__member", F.lit(False)))
+    reason = F.coalesce(scope, item_reason(F.col("items"), excluded), "__cover")
+    out = out.withColumn("is_scheduled", is_scheduled(F.col("items"), excluded, scheduled)).withColumn("exclude_reason", reason)
+    return out.withColumn("kept", reason.isNull()).drop("__member", "__cover")
+
+
+def surviving(events: DataFrame) -> DataFrame:
+    """``events``, or an error that names the commonest reason if none is left."""
+    reason = dominant_reason(events)
+    if reason is not None:
+        raise ValueError(f"every event was excluded, most as {reason!r}")
+    return events
+
+
 def dominant_reason(events: DataFrame) -> Column | None:
     """The commonest reason if every event has one, else None: a cascade that leaves nothing must fail."""
     if not events.where("exclude_reason IS NULL").isEmpty():

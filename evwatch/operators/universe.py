@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evwatch.config import DAY, Config
+from evwatch.tables import stored
 
 
 def candidates(companies: DataFrame, daily: DataFrame, filings: DataFrame, as_of: int, cfg: Config) -> DataFrame:
@@ -44,6 +45,18 @@ def select(classified: DataFrame, cfg: Config) -> DataFrame:
     return classified.where("reason IS NULL").orderBy(F.col("adv_usd").desc(), "ticker").limit(cfg.max_tickers)
 
 
+def applied(companies: DataFrame, classified: DataFrame, as_of: int, cfg: Config) -> DataFrame:
+    """``companies`` with ``in_universe`` and ``universe_as_of`` set, and the figures that the choice was made by; no
+    survivor at all raises, as what follows would collect nothing."""
+    chosen = select(classified, cfg).select("ticker", F.col("adv_usd").alias("__adv"), F.col("last_price").alias("__price"), F.lit(1).alias("__in"))
+    chosen = stored(chosen)
+    if chosen.isEmpty():
+        raise ValueError("no company is left in the universe")
+    out = companies.drop("in_universe", "universe_as_of", "adv_usd", "last_price").join(chosen, "ticker", "left")
+    flags = {"in_universe": F.coalesce("__in", F.lit(0)), "universe_as_of": F.lit(as_of).cast("long"), "adv_usd": F.col("__adv"), "last_price": F.col("__price")}
+    return out.withColumns(flags).drop("__in", "__adv", "__price")
+
+
 def tally(classified: DataFrame, cfg: Config) -> DataFrame:
     """How many each reason excludes, those over the cap included."""
     counts = classified.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))

@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from evwatch.config import DAY, SMALL
-from evwatch.operators import evaluation, features, sampling, seal
+from evwatch.operators import evaluation, features, reports, sampling, seal, universe
 from evwatch.plans import frames
 from evwatch.plans.queries import TILES, query, quiet_frame, rounded
-from evwatch.plans.study import TRAIN_END, matrix
+from evwatch.plans.study import TRAIN_END, audited, matrix
 from evwatch.plans.views_sql import HIGH, LOW
-from evwatch.sources import adapters, ingest, sinks
+from evwatch.sources import adapters, ingest, scans, sinks
 from evwatch.tables import shared_dir, stored
 
 
@@ -128,3 +128,43 @@ def lookahead_found(spark, sf_dir):
         return features.price_features(bars, SMALL).withColumn("ahead", F.lead("close").over(by_ticker))
 
     return features.lookaheads(made, adapters.hourly_bars(spark, sf_dir), CUTS, ["ret_1h", "ret_4h", "volume_z", "volatility", "ahead"])
+
+
+@query(f"""WITH m AS (SELECT DISTINCT ticker FROM companies WHERE exchange <> 'OTC'), c AS (SELECT accession_no, 'no_price_coverage:' || outcome AS outcome FROM audit WHERE outcome <> 'ok')
+SELECT accession_no, CASE WHEN items <> '9.01' THEN contains(items, '2.02') END AS is_scheduled, CASE WHEN acceptance_utc < {LOW} OR acceptance_utc >= {HIGH} THEN 'outside_study_window' WHEN m.ticker IS NULL THEN 'not_in_universe'
+  WHEN items = '9.01' THEN 'only_excluded_items' WHEN c.outcome IS NOT NULL THEN c.outcome END AS exclude_reason FROM filings f LEFT JOIN m ON m.ticker = f.ticker LEFT JOIN c USING (accession_no)""")
+def filter_cascade(spark, sf_dir):
+    """Scope, items, then coverage; that some are left is checked."""
+    bad = reports.coverage_exclusions(audited(spark, sf_dir))
+    members = adapters.companies(spark, sf_dir).where("exchange <> 'OTC'")
+    out = reports.cascade(adapters.filings(spark, sf_dir), members, bad, LOW, HIGH - 1, SMALL.excluded_items, SMALL.scheduled_items)
+    return reports.surviving(stored(out.select("accession_no", "is_scheduled", "exclude_reason")))
+
+
+@query("""WITH r AS (SELECT ticker, adv_usd FROM reasons WHERE reason IS NULL ORDER BY adv_usd DESC, ticker LIMIT 60)
+SELECT c.cik, c.ticker, (r.ticker IS NOT NULL)::INT AS in_universe, round(r.adv_usd, 6) AS adv_usd FROM companies c LEFT JOIN r ON r.ticker = c.ticker""")
+def universe_applied(spark, sf_dir):
+    """The choice written back to all companies."""
+    companies = adapters.companies(spark, sf_dir)
+    rows = universe.candidates(companies, adapters.hourly_bars(spark, sf_dir), adapters.filings(spark, sf_dir), HIGH, SMALL)
+    out = universe.applied(companies, rounded(universe.classify(rows, HIGH, SMALL), "adv_usd"), HIGH, SMALL)
+    return rounded(out.select("cik", "ticker", "in_universe", "adv_usd"), "adv_usd")
+
+
+@query(f"SELECT ticker, greatest(CASE WHEN ticker::INT % 2 = 0 THEN {LOW} ELSE 1640995200 END, {HIGH} - 729 * 86400)::BIGINT AS start_utc FROM companies")
+def clamped_ranges(spark, sf_dir):
+    """Hourly bars are kept for 729 days: starts before that are moved, absent ones get the default."""
+    even = F.col("ticker").cast("int") % 2 == 0
+    wanted = adapters.companies(spark, sf_dir).select("ticker", F.when(~even, F.lit(1_640_995_200)).cast("long").alias("start_utc"))
+    return ingest.clamped(wanted, HIGH, "1h", LOW)
+
+
+@query("""SELECT stem, count(DISTINCT cik) AS ciks, count(DISTINCT name) AS names FROM (
+  SELECT cik, name, regexp_replace(regexp_replace(lower(name), '(company|inc|corp)', '', 'g'), '[^a-z0-9]', '', 'g') AS stem FROM companies) GROUP BY 1""")
+def register_groups(spark, sf_dir):
+    """The register as a text file in latin-1, read back and grouped by stem."""
+    path = f"{shared_dir(spark)}/register-{uuid.uuid4().hex}"
+    lines = adapters.companies(spark, sf_dir).select(F.concat(F.upper("name"), F.lit(":"), "cik", F.lit(":")).alias("value"))
+    lines.write.option("encoding", "ISO-8859-1").text(path)
+    rows = ingest.register_rows(scans.register_lines(spark, path))
+    return rows.groupBy("stem").agg(F.count_distinct("cik").alias("ciks"), F.count_distinct("name").alias("names"))

@@ -382,9 +382,10 @@ def engagement(spark, sf_dir):
 
 EVALUATED = BUDGET + f""", lead AS (SELECT window_id, {HOURS_OPEN.format(a="ts_utc", b="t0_utc")} / 3600.0 AS h FROM pred CROSS JOIN sessions WHERE action = 'FLAG' AND t0_utc IS NOT NULL GROUP BY window_id),
 sl AS (SELECT window_id, alert, unnest(list_distinct(['all', CASE WHEN is_scheduled THEN 'scheduled' ELSE 'unscheduled' END] || list_transform(list_filter(string_split(item_code, ','), lambda c: c NOT IN ('9.01', '5.07')), lambda c: 'item ' || c))) AS slice FROM s WHERE is_positive),
-w AS (SELECT count(*) FILTER (action = 'WAIT') AS wait_hours, count(*) FILTER (action = 'FLAG') AS flag_hours FROM pred)
+w AS (SELECT count(*) FILTER (action = 'WAIT') AS wait_hours, count(*) FILTER (action = 'FLAG') AS flag_hours, count(*) FILTER (action = 'FLAG') = 0 OR min(score) = max(score) AS degenerate,
+  CASE WHEN min(score) >= 0 AND max(score) <= 1 THEN round(avg((score - (t0_utc IS NOT NULL)::INT) * (score - (t0_utc IS NOT NULL)::INT)), 6) END AS brier FROM pred)
 SELECT slice, count(*) AS n_positive, count(*) FILTER (alert) + any_value(fp) AS alerts, round(count(*) FILTER (alert) / (count(*) FILTER (alert) + any_value(fp)), 6) AS precision, count(h) AS detections, round(quantile_cont(h, 0.5), 6) AS lead_p50,
-  any_value(wait_hours) AS wait_hours, any_value(flag_hours) AS flag_hours, any_value(budget)::BIGINT AS budget, round((count(*) FILTER (alert) + any_value(fp)) / any_value(budget), 6) AS tie_spill, false AS degenerate, NULL::DOUBLE AS brier
+  any_value(wait_hours) AS wait_hours, any_value(flag_hours) AS flag_hours, any_value(budget)::BIGINT AS budget, round((count(*) FILTER (alert) + any_value(fp)) / any_value(budget), 6) AS tie_spill, any_value(degenerate) AS degenerate, any_value(brier) AS brier
 FROM sl LEFT JOIN lead USING (window_id) CROSS JOIN quiet CROSS JOIN w CROSS JOIN b GROUP BY slice"""
 TOLD = ("slice", "n_positive", "alerts", "precision", "detections", "lead_p50", "wait_hours", "flag_hours", "budget", "tie_spill", "degenerate", "brier")
 

@@ -4,8 +4,9 @@ import os
 
 import pytest
 from evwatch.config import SMALL
-from evwatch.operators import evaluation, features, seal
-from evwatch.sources import adapters, ingest, sinks
+from evwatch.functions import scalars, timecal
+from evwatch.operators import evaluation, features, merge, reports, seal, universe
+from evwatch.sources import adapters, ingest, scans, sinks
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -102,3 +103,49 @@ def test_lookaheads_equal_single_cuts(spark):
     got = {(r.cut, r.feature): r.n for r in features.lookaheads(made, bars, cuts, ["ret_1h", "volume_z", "ahead"]).collect()}
     want = {(c, "ahead"): features.lookahead(made, bars, c, ["ahead"]).count() for c in cuts}
     assert got == want and min(want.values()) > 0
+
+
+def test_cascade_order_and_survivors(spark):
+    rows = [("1", "A", 5, "8.01"), ("2", "B", 5, "8.01"), ("3", "A", 50, "9.01"), ("4", "A", 5, "9.01"), ("5", "A", 6, "2.02"), ("6", "A", None, "2.02")]
+    filings = spark.createDataFrame(rows, "accession_no string, ticker string, acceptance_utc long, items string")
+    members, cover = spark.createDataFrame([("A",), ("A",)], "ticker string"), spark.createDataFrame([("4", "gaps"), ("5", "gaps")], "accession_no string, reason string")
+    out = reports.cascade(filings, members, cover, 0, 10, ("9.01",), ("2.02",))
+    told = {r.accession_no: (r.exclude_reason, r.kept) for r in out.collect()}
+    assert told == {"1": (None, True), "2": ("not_in_universe", False), "3": ("outside_study_window", False), "4": ("only_excluded_items", False), "5": ("gaps", False), "6": ("outside_study_window", False)}
+    assert reports.surviving(out).count() == 6
+    with pytest.raises(ValueError, match="outside_study_window"):
+        reports.surviving(out.where("NOT kept"))
+
+
+def test_code_sets_and_split_bounds():
+    scalars.disjoint(excluded=("9.01", "5.07"), scheduled=("2.02",), focus=("1.01",))
+    with pytest.raises(ValueError, match="2.02"):
+        scalars.disjoint(excluded=("9.01", "2.02"), scheduled=("2.02",))
+    bounds = [timecal.split_bounds(name, 100, 300, (0.7, 0.15, 0.15)) for name in ("train", "val", "test")]
+    assert bounds == [(100, 240), (240, 270), (270, 300)]
+    with pytest.raises(ValueError):
+        timecal.split_bounds("train", 0, 1, (0.5, 0.1, 0.1))
+
+
+def test_a_universe_without_survivors_fails(spark):
+    companies = spark.createDataFrame([("1", "A", None, None, 1.0, 2.0)], "cik string, ticker string, in_universe int, universe_as_of long, adv_usd double, last_price double")
+    judged = spark.createDataFrame([("A", 9.0, 3.0, None), ("B", 1.0, 1.0, "no_bars")], "ticker string, adv_usd double, last_price double, reason string")
+    assert universe.applied(companies, judged, 7, SMALL).select("in_universe", "universe_as_of", "adv_usd", "last_price").first() == (1, 7, 9.0, 3.0)
+    with pytest.raises(ValueError):
+        universe.applied(companies, judged.where("ticker = 'B'"), 7, SMALL)
+
+
+def test_small_helpers(spark, tmp_path):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(scalars.outcome_slice(F.lit(v).cast("string"), ("2.02",))) for v in (None, "2.02,9.01", "8.01")] == ["—", "scheduled", "unscheduled"]
+    assert one(timecal.epoch_to_short(F.lit(1_704_164_645))) == "02 Jan 03:04"
+    state = spark.createDataFrame([("news", "a", "ok"), ("news", "b", "empty"), ("bars", "b", "ok")], "source string, key string, status string")
+    assert [r.key for r in merge.keys_with(state, "news", "ok").collect()] == ["a"]
+    news = spark.createDataFrame([("u", "x", None, 5), ("v", "x", 3, 4), ("w", "y", None, 6)], "url string, api string, published_utc long, seen_utc long")
+    moved = {r.url: (r.published_utc, r.seen_utc) for r in ingest.move_seen(news, "x").collect()}
+    assert moved == {"u": (5, None), "v": (3, None), "w": (None, 6)}
+    low, high = spark.range(1).select(*scans.study_bounds(SMALL)).first()
+    assert (low, high) == (1_704_240_000, 1_706_486_400)
+    posts = spark.createDataFrame([("1", "s", 9, "late"), ("1", "s", 7, "b"), ("1", "s", 7, "a"), ("2", "s", 3, "old")], "id string, sub string, created_utc long, title string")
+    have = spark.createDataFrame([("0", "s", 5)], "id string, sub string, created_utc long")
+    assert [tuple(r) for r in ingest.new_posts(have, posts, "sub").collect()] == [("1", "s", 7, "a")]

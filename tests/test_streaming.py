@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """State is kept by partition and batch; rows here are few."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def drain(stream, tmp_path, mode="append"):
     out = str(tmp_path / "out")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -18,8 +26,8 @@ def drain(stream, tmp_path, mode="append"):
 
 def landed(spark, rows, tmp_path, order, n):
     """Rows in order of time over ``n`` files, read as a stream one file at a time."""
-    path = str(tmp_path / "in")
-    for i, part in enumerate(rows.orderBy(order).toPandas().groupby(lambda k: k * n // rows.count())):
+    path, table = str(tmp_path / "in"), rows.orderBy(order).toPandas()
+    for part in table.groupby(lambda k: k * n // len(table)):
         spark.createDataFrame(part[1], rows.schema).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
