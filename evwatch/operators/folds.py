@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evwatch.tables import stored
+
 Pair = tuple[float, float]
 #: Of a slice: record highs, their places and what follows; record lows and their places; the sum; what follows from 0.
 SUMMARY = "highs array<double>, high_at array<int>, then array<double>, lows array<double>, low_at array<int>, total double, from_zero double"
@@ -141,6 +143,8 @@ def cusum_rows(values: DataFrame, pairs: list[Pair], by: str, ts: str, x: str, t
     order = ["key", "slice", F.col("ts").asc_nulls_first(), *(["tie"] if tie else []), F.col("x").asc_nulls_first()]
     rows = values.select(F.col(by).alias("key"), piece.alias("slice"), F.col(ts).alias("ts"), *([F.col(tie).alias("tie")] if tie else []), usable.alias("x"))
     kinds = dict(rows.dtypes)
+    if slice_s is not None:
+        rows = stored(rows)  # read for the summaries and for the fold
     dealt = rows.repartition("key", "slice")
     entering = F.lit(None).cast("array<double>")
     rows = dealt.withColumn("carry", entering)
