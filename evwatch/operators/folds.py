@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evwatch.tables import stored
+from evwatch.tables import importable, stored
 
 Pair = tuple[float, float]
 #: Of a slice: record highs, their places and what follows; record lows and their places; the sum; what follows from 0.
@@ -138,6 +138,7 @@ def carries(rows: DataFrame, pairs: list[Pair], kind: str) -> DataFrame:
 def cusum_rows(values: DataFrame, pairs: list[Pair], by: str, ts: str, x: str, tie: str | None, slice_s: int | None) -> DataFrame:
     """``k, h, key, ts, cusum`` of each row of ``values`` for each pair; ``slice_s`` seconds of a key's time are
     one task's, all of it without."""
+    importable(values.sparkSession)
     usable = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x).cast("double"))
     piece = F.lit(0).cast("long") if slice_s is None else F.floor(F.col(ts) / slice_s).cast("long")
     order = ["key", "slice", F.col("ts").asc_nulls_first(), *(["tie"] if tie else []), F.col("x").asc_nulls_first()]
