@@ -22,7 +22,7 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+    return passages.classed(passages.fuzzy_passages(table(spark, sf_dir, "documents")))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
