@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,10 +142,11 @@ def action_counts(df: DataFrame) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Rows, windows and an order-free digest of the window ids: a sum of hashes, so that the ids
-    are never gathered."""
+    are never gathered. It is told modulo 2^63, as that of many windows is beyond a long."""
     ids = df.groupBy("window_id").agg(F.count("*").alias("n"), F.max(F.col("t0_utc").isNotNull()).alias("positive"))
-    part = F.conv(F.substring(F.md5("window_id"), 1, 12), 16, 10).cast("long")
-    return ids.agg(F.sum("n").alias("rows"), F.count("*").alias("windows"), F.count_if("positive").alias("positive_windows"), F.sum(part).alias("digest"))
+    part = F.conv(F.substring(F.md5("window_id"), 1, 12), 16, 10).cast("decimal(15,0)")
+    digest = (F.sum(part) % F.lit(Decimal(1 << 63))).cast("long")
+    return ids.agg(F.sum("n").alias("rows"), F.count("*").alias("windows"), F.count_if("positive").alias("positive_windows"), digest.alias("digest"))
 
 
 def null_audit(df: DataFrame, columns: list[str]) -> DataFrame:

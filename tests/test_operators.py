@@ -1,5 +1,6 @@
 """Hand vectors and brute force for the surveillance operators."""
 
+import hashlib
 import random
 
 import pytest
@@ -341,3 +342,10 @@ def test_sinks(spark, tmp_path):
 def test_nearest_rank_index_rule(spark):
     df = spark.createDataFrame([(x,) for x in (5, 1, 1, 9, 7)], "v long")
     assert tuple(labels.nearest_rank(df, "v", [0.1, 0.5, 0.99]).first()) == (1, 5, 9)
+
+
+def test_fingerprint_of_more_windows_than_a_long_sums(spark):
+    rows = spark.range(80000).select(F.concat(F.lit("bar:"), "id").alias("window_id"), F.lit(None).cast("long").alias("t0_utc"))
+    want = sum(int(hashlib.md5(f"bar:{i}".encode()).hexdigest()[:12], 16) for i in range(80000))
+    assert want >= 1 << 63
+    assert tuple(metrics.fingerprint(rows).first()) == (80000, 80000, 0, want % (1 << 63))
