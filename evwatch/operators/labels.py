@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evwatch.operators.joins import asof
 from evwatch.operators.ranks import at_ranks, nearest_rank  # noqa: F401  the operators take them from here
+from evwatch.tables import stored
 
 
 def correct_t0(filings: DataFrame, news: DataFrame, lookback_s: int, max_tier: int | None, crawl_time: bool = False) -> DataFrame:
@@ -46,12 +47,14 @@ def event_move(events: DataFrame, bars: DataFrame, benchmark: DataFrame, hours:
     def price(ts: str, end: bool):
         return F.col("close") if end else F.when(F.col("ts_utc") + bar_s <= F.col(ts), F.col("close")).otherwise(F.col("open"))
 
+    # Four as-of joins read them.
+    bars, benchmark = stored(bars.select("ticker", "ts_utc", "open", "close")), stored(benchmark.select("ts_utc", "open", "close"))
     known = bars.select("ticker").distinct().withColumn("__known", F.lit(True))
     out = events.join(known, "ticker", "left").withColumn("__end", F.col("t0_utc") + hours * 3600).withColumn("__all", F.lit(0))
     market = benchmark.withColumn("__all", F.lit(0))
     for name, prices, by in (("own", bars, "ticker"), ("b", market, "__all")):
         # Of the benchmark's few rows as of the events', so its key is one for all; slices deal it.
-        slices = None if by == "ticker" else 7 * 86400
+        slices = None if by == "ticker" else 86400
         out = asof(out, prices, by, "t0_utc", "ts_utc", {f"__{name}_ts": F.col("ts_utc"), f"__{name}_o": F.col("open"), f"__{name}_c": F.col("close")}, slice_s=slices)
         whole = F.col(f"__{name}_ts") + bar_s <= F.col("t0_utc")
         out = out.withColumn(f"__{name}_0", F.when(whole, F.col(f"__{name}_c")).otherwise(F.col(f"__{name}_o")))

@@ -23,6 +23,7 @@ def top(rows: DataFrame, by: list[str], k: int) -> DataFrame:
 def census(events: DataFrame, low: int, high: int, gaps_h: tuple[int, ...]) -> DataFrame:
     """One row: events, those outside of [low, high), pending ones (not usable, no reason), usable and
     scheduled ones, tickers, months, usable ones per ticker and month, announcements for each gap."""
+    events = stored(events.select("ticker", "t0_utc", "usable", "exclude_reason", "is_scheduled"))  # each gap reads them
     inside = (F.col("t0_utc") >= low) & (F.col("t0_utc") < high)
     usable = F.col("usable") == 1
     out = events.agg(

@@ -349,3 +349,10 @@ def test_fingerprint_of_more_windows_than_a_long_sums(spark):
     want = sum(int(hashlib.md5(f"bar:{i}".encode()).hexdigest()[:12], 16) for i in range(80000))
     assert want >= 1 << 63
     assert tuple(metrics.fingerprint(rows).first()) == (80000, 80000, 0, want % (1 << 63))
+
+
+@pytest.mark.parametrize("slice_s", [None, 7])
+def test_asof_forward_has_no_frame_to_the_end(spark, capsys, slice_s):
+    a, b = spark.createDataFrame([("a", 1)], "k string, t long"), spark.createDataFrame([("a", 2, 3)], "k string, u long, v long")
+    joins.asof(a, b, "k", "t", "u", {"got": F.col("v")}, "forward", slice_s=slice_s).explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
