@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from evwatch.operators.joins import within
 
 
+#: The end of a word, whose characters are ASCII letters, digits and the underscore whatever the engine takes ``\b`` for.
+WORD_END = "(?![0-9A-Za-z_])"
+
+
 def mentions(posts: DataFrame, universe: DataFrame, id_col: str, text: str, blacklist: tuple[str, ...] = (), most: int = 5) -> DataFrame:
     """``id, tickers``: sorted distinct tickers of each post with any: cashtags, bare upper-case
     words of the universe, and names as whole words, the longest first; less the blacklist, and
@@ -18,8 +22,8 @@ def mentions(posts: DataFrame, universe: DataFrame, id_col: str, text: str, blac
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = posts.select(F.col(id_col).alias("id"), body.alias("text"))
-    cash = rows.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"\$([A-Z]{1,5})\b"), 1)).alias("ticker"))
-    bare = rows.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{2,5})\b"), 1)).alias("ticker"))
+    cash = rows.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"\$([A-Z]{1,5})" + WORD_END), 1)).alias("ticker"))
+    bare = rows.select("id", F.explode(F.regexp_extract_all("text", F.lit("(?<![0-9A-Za-z_])([A-Z]{2,5})" + WORD_END), 1)).alias("ticker"))
     bare = bare.distinct().join(universe.select("ticker").distinct(), "ticker", "left_semi")
     names = universe.where("name IS NOT NULL AND trim(name) <> ''").select("ticker", F.lower(F.trim("name")).alias("name"))
     names = names.withColumn("first", F.regexp_extract("name", r"^\w+", 0)).where("first <> ''")

@@ -6,7 +6,7 @@ import random
 import pytest
 from evwatch.config import SMALL
 from evwatch.functions import scalars, timecal
-from evwatch.operators import alertlog, contract, detectors, features, joins, labels, merge, metrics, ranks, sampling
+from evwatch.operators import alertlog, contract, detectors, features, joins, labels, merge, metrics, ranks, sampling, text
 from evwatch.plans import frames
 from evwatch.schemas import TABLES
 from evwatch.sources import adapters, ingest, sinks
@@ -356,3 +356,9 @@ def test_asof_forward_has_no_frame_to_the_end(spark, capsys, slice_s):
     a, b = spark.createDataFrame([("a", 1)], "k string, t long"), spark.createDataFrame([("a", 2, 3)], "k string, u long, v long")
     joins.asof(a, b, "k", "t", "u", {"got": F.col("v")}, "forward", slice_s=slice_s).explain()
     assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
+def test_mentions_end_at_letters_beyond_ascii(spark):
+    posts = spark.createDataFrame([(1, "AI!! SUR\u00c9ELLE"), (2, "\u00c9SUR $ABC\u00c9"), (3, "SUR_X XSUR SUR1 $ABCX_ sur")], "id long, t string")
+    known = spark.createDataFrame([("SUR", None), ("AI", None)], "ticker string, name string")
+    assert {r.id: r.tickers for r in text.mentions(posts, known, "id", "t").collect()} == {1: ["AI", "SUR"], 2: ["ABC", "SUR"]}
