@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evwatch.config import SMALL
 from evwatch.functions import timecal
-from evwatch.operators import alertlog, contract, detectors, evaluation, labels, merge, metrics, monitor, reports
+from evwatch.operators import alertlog, contract, detectors, evaluation, joins, labels, merge, metrics, monitor, reports
 from evwatch.plans import frames
 from evwatch.sources import adapters, ingest
 
@@ -96,3 +96,15 @@ def test_longer_waits_keep_fewer_flags(spark):
     out = evaluation.tune_wait(frames.predictions(spark, SF), frames.clock(spark), [0.0, 1.0, 3.0]).collect()
     flags = {r["wait"]: r.flags for r in out}
     assert flags[0.0] > flags[1.0] >= flags.get(3.0, 0)
+
+
+def test_proposed_names_equal_brute_force(spark):
+    stems = ["abcde"] * 25 + ["abcdef"] * 3 + ["abcdefgh", "xy", "xy", "xyz", "lonely", "lonelyone"]
+    names = [(f"{i:03d}", stem) for i, stem in enumerate(stems)]
+    df = spark.createDataFrame(names, "cik string, stem string")
+    got = {r.cik: (r.r_stem, r.n, r.status, r.candidates) for r in joins.propose(df, df).collect()}
+    for cik, stem in names:
+        near = [(len(s), s, c) for c, s in names if c != cik and (s == stem or len(s) >= 5 and stem.startswith(s))]
+        best = sorted(c for n, _, c in near if n == max(near)[0])
+        status = "none" if not best else "unresolved" if len(best) > 20 else "proposed"
+        assert got[cik] == (max(near)[1] if near else None, len(best), status, best if status == "proposed" else None)
