@@ -22,10 +22,11 @@ def evaluate(df: DataFrame, days: DataFrame, rate: float, excluded: tuple[str, .
     budget by ties, and of the whole frame the actions, the Brier score where scores are
     probabilities, and whether it is degenerate: no flag, or one score only."""
     df = stored(df)
-    budget, threshold = metrics.budgeted(df, rate, most)
-    table = metrics.report(df, threshold, excluded)
+    summary = stored(metrics.window_summary(df))
+    budget, threshold = metrics.budgeted(df, rate, most, summary)
+    table = metrics.summary_report(summary, threshold, excluded)
     leads = metrics.delays(df, days).select("window_id", "lead_trading_h")
-    led = metrics.sliced(metrics.window_summary(df), excluded).select("window_id", "slice").join(leads, "window_id", "left")
+    led = stored(metrics.sliced(summary, excluded).select("window_id", "slice").join(leads, "window_id", "left"))
     delays = led.groupBy("slice").agg(F.count("lead_trading_h").alias("detections"))
     delays = delays.join(interpolated(led, "lead_trading_h", {"lead_p50": 0.5}, ["slice"]), "slice", "left")
     y, p = F.col("t0_utc").isNotNull().cast("double"), F.col("score")
@@ -48,9 +49,20 @@ def report_table(variants: dict[str, DataFrame], days: DataFrame, rate: float, e
     return reduce(DataFrame.unionByName, [evaluate(df, days, rate, excluded).withColumn("variant", F.lit(name)) for name, df in variants.items()])
 
 
+def predicted(frame: DataFrame, detectors: dict[str, Detector]) -> dict[str, DataFrame]:
+    """Valid predictions of every detector on the same frame; the frame and they are stored, as the checks
+    and what follows read them again."""
+    frame = stored(frame)
+    return {name: validated(stored(d.predict(frame))) for name, d in detectors.items()}
+
+
+def side_by_side(found: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.withColumn("detector", F.lit(name)) for name, df in found.items()])
+
+
 def run_detectors(frame: DataFrame, detectors: dict[str, Detector]) -> DataFrame:
-    """Valid predictions of every detector on the same frame, with its name."""
-    return reduce(DataFrame.unionByName, [validated(d.predict(frame)).withColumn("detector", F.lit(name)) for name, d in detectors.items()])
+    """``predicted`` as one frame, with the detector's name."""
+    return side_by_side(predicted(frame, detectors))
 
 
 def own_rules(predictions: DataFrame, ruled: tuple[str, ...], at: float = 0.5) -> DataFrame:

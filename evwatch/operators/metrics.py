@@ -49,11 +49,11 @@ def threshold_at(summary: DataFrame, budget: int) -> float:
     return thresholds(summary, F.lit(budget)).first()[0]
 
 
-def budgeted(df: DataFrame, rate: float, most: int | None = None) -> tuple[Column, Column]:
+def budgeted(df: DataFrame, rate: float, most: int | None = None, summary: DataFrame | None = None) -> tuple[Column, Column]:
     """Budget and threshold of a frame as scalar subqueries: nothing is read on the driver, and no join
-    is needed to bring them to the rows."""
+    is needed to bring them to the rows. ``summary``: its ``window_summary``, where that is at hand."""
     budget = stored(alert_budget(df, rate, most))
-    return budget.scalar(), stored(thresholds(window_summary(df), budget.scalar())).scalar()
+    return budget.scalar(), stored(thresholds(window_summary(df) if summary is None else summary, budget.scalar())).scalar()
 
 
 def sliced(summary: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
@@ -67,7 +67,11 @@ def sliced(summary: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
 
 def report(df: DataFrame, threshold: float | Column, excluded: tuple[str, ...]) -> DataFrame:
     """Precision, recall, ceiling and base rate by slice at one threshold."""
-    summary = window_summary(df)
+    return summary_report(stored(window_summary(df)), threshold, excluded)
+
+
+def summary_report(summary: DataFrame, threshold: float | Column, excluded: tuple[str, ...]) -> DataFrame:
+    """``report`` of the windows of ``window_summary``."""
     alert = (F.col("peak") >= threshold).cast("int")
     hits = sliced(summary, excluded).groupBy("slice").agg(F.count("*").alias("n_positive"), F.sum(alert).alias("true_positives"))
     quiet = summary.where("NOT is_positive").agg(F.count("*").alias("n_quiet"), F.coalesce(F.sum(alert), F.lit(0)).alias("false_positives"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evwatch.operators import alertlog
 from evwatch.operators.detectors import Detector
+from evwatch.tables import stored
 
 
 def latest_bars(matrix: DataFrame, as_of: int, lookback: int) -> DataFrame:
@@ -32,7 +33,7 @@ def scan(frame: DataFrame, detectors: dict[str, Detector], thresholds: dict[str,
 def cycle(log: DataFrame | None, alerts: DataFrame, filings: DataFrame, days: DataFrame, span_h: int, edge: int) -> tuple[DataFrame, DataFrame]:
     """One run: alerts go into the log, due ones get outcomes, the chain is verified, and the table to
     show is made: the whole log and that table. A broken chain raises."""
-    new = alertlog.append(log, alerts)
+    new = stored(alertlog.append(log, alerts))  # a chain that isn't folded anew each time it is read
     whole = new if log is None else log.unionByName(new)
     broken = alertlog.chain_breaks(whole).limit(1).collect()
     if broken:

@@ -98,6 +98,31 @@ def test_longer_waits_keep_fewer_flags(spark):
     assert flags[0.0] > flags[1.0] >= flags.get(3.0, 0)
 
 
+def counted(spark, frame):
+    """``frame`` and how often a row of it has been made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value
+
+    return frame.withColumn("volume_z", F.udf(seen, "double")("volume_z")), made
+
+
+@pytest.mark.parametrize("names", [("volume_z",), ("volume_z", "random", "constant")])
+def test_a_frame_is_made_once_for_all_detectors_and_checks(spark, names):
+    frame = frames.frame(spark, SF).cache()
+    rows, made = counted(spark, frame)
+    found = evaluation.run_detectors(rows, {name: detectors.REGISTRY[name]() for name in names})
+    assert found.count() == len(names) * frame.count() and made.value == frame.count()
+
+
+def test_scores_are_made_once_for_the_floor_and_the_rows(spark):
+    frame = frames.frame(spark, SF).cache()
+    rows, made = counted(spark, frame)
+    assert detectors.VolumeZ(1.5).predict(rows).count() == frame.count() == made.value
+
+
 def test_proposed_names_equal_brute_force(spark):
     stems = ["abcde"] * 25 + ["abcdef"] * 3 + ["abcdefgh", "xy", "xy", "xyz", "lonely", "lonelyone"]
     names = [(f"{i:03d}", stem) for i, stem in enumerate(stems)]
