@@ -44,9 +44,19 @@ def evaluate(df: DataFrame, days: DataFrame, rate: float, excluded: tuple[str, .
     return table.join(delays, "slice").select("*", *told, budget.alias("budget"), spill)
 
 
-def report_table(variants: dict[str, DataFrame], days: DataFrame, rate: float, excluded: tuple[str, ...]) -> DataFrame:
-    """``evaluate`` of each variant of the event clock, each at its own threshold, one after the other."""
-    return reduce(DataFrame.unionByName, [evaluate(df, days, rate, excluded).withColumn("variant", F.lit(name)) for name, df in variants.items()])
+def precisions(df: DataFrame, rate: float, excluded: tuple[str, ...], most: int | None = None) -> DataFrame:
+    """``metrics.report`` at the threshold that the frame's alert budget gives: what ``evaluate`` tells, without
+    leads and actions. ``df`` is read twice."""
+    summary = stored(metrics.window_summary(df).drop("window_id", "ticker"))
+    _, threshold = metrics.budgeted(df, rate, most, summary)
+    return metrics.summary_report(summary, threshold, excluded)
+
+
+def report_table(variants: dict[str, DataFrame], days: DataFrame, rate: float, excluded: tuple[str, ...], leads: bool = True) -> DataFrame:
+    """``evaluate`` of each variant of the event clock, each at its own threshold, one after the other; without
+    ``leads``, ``precisions`` of each."""
+    judged = {name: evaluate(df, days, rate, excluded) if leads else precisions(df, rate, excluded) for name, df in variants.items()}
+    return reduce(DataFrame.unionByName, [table.withColumn("variant", F.lit(name)) for name, table in judged.items()])
 
 
 def predicted(frame: DataFrame, detectors: dict[str, Detector]) -> dict[str, DataFrame]:

@@ -120,5 +120,5 @@ def trees_report(spark, sf_dir):
     model = detectors.Trees(["volume_z", "hour"], trees=20, depth=SMALL.tree_depth, rate=0.1, seed=SMALL.seed).fit(rows.where(F.col("ts_utc") < TRAIN_END))
     found = stored(model.predict(rows.where(F.col("ts_utc") >= TRAIN_END)))
     table = evaluation.evaluate(found, frames.clock(spark), SMALL.budget_per_month, SMALL.excluded_items)
-    floor = metrics.report(detectors.Constant().predict(rows.where(F.col("ts_utc") >= TRAIN_END)), 0.0, SMALL.excluded_items)
+    floor = metrics.report(detectors.Constant().score(rows.where(F.col("ts_utc") >= TRAIN_END)), 0.0, SMALL.excluded_items)
     return metrics.with_lift(table, floor).select(*TOLD, "lift")
