@@ -136,8 +136,8 @@ def carries(rows: DataFrame, pairs: list[Pair], kind: str) -> DataFrame:
 
 
 def cusum_rows(values: DataFrame, pairs: list[Pair], by: str, ts: str, x: str, tie: str | None, slice_s: int | None) -> DataFrame:
-    """``k, h, key, ts, cusum`` of each row of ``values`` for each pair; ``slice_s`` seconds of a key's time are
-    one task's, all of it without."""
+    """``key, ts, told`` of each row of ``values``, an array of S for the pairs in their order; ``slice_s`` seconds
+    of a key's time are one task's, all of it without."""
     importable(values.sparkSession)
     usable = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x).cast("double"))
     piece = F.lit(0).cast("long") if slice_s is None else F.floor(F.col(ts) / slice_s).cast("long")
@@ -159,7 +159,7 @@ def cusum_rows(values: DataFrame, pairs: list[Pair], by: str, ts: str, x: str, t
         now, state = object(), []
         for batch in batches:
             keys, slices, xs, entered = (batch.column(c).to_pylist() for c in ("key", "slice", "x", "carry"))
-            told: list[list[float | None]] = [[] for _ in pairs]
+            told: list[list[float | None]] = []
             kept = []
             for i, (key, piece, value, carry) in enumerate(zip(keys, slices, xs, entered, strict=True)):
                 if now != (key, piece):
@@ -169,18 +169,12 @@ def cusum_rows(values: DataFrame, pairs: list[Pair], by: str, ts: str, x: str, t
                     continue
                 kept.append(i)
                 if value is None:
-                    for out in told:
-                        out.append(None)
+                    told.append([None] * len(pairs))
                     continue
-                fresh = []
-                for out, s, (k, h) in zip(told, state, pairs, strict=True):
-                    s, then = step(s, value, k, h)
-                    out.append(s)
-                    fresh.append(then)
-                state = fresh
+                steps = [step(s, value, k, h) for s, (k, h) in zip(state, pairs, strict=True)]
+                told.append([s for s, _ in steps])
+                state = [then for _, then in steps]
             rest = batch.select(["key", "ts"]).take(pa.array(kept, pa.int64()))
-            for out, pair in zip(told, pairs, strict=True):
-                given = [pa.repeat(pa.scalar(v, pa.float64()), len(kept)) for v in pair]
-                yield pa.RecordBatch.from_arrays([*given, rest.column(0), rest.column(1), pa.array(out, pa.float64())], ["k", "h", "key", "ts", "cusum"])
+            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.array(told, pa.list_(pa.float64()))], ["key", "ts", "told"])
 
-    return rows.mapInArrow(fold, f"k double, h double, key {kinds['key']}, ts {kinds['ts']}, cusum double")
+    return rows.mapInArrow(fold, f"key {kinds['key']}, ts {kinds['ts']}, told array<double>")
